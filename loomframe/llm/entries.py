@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, linkgraph, mixing
+from . import decontam, flac, linkgraph, mixing
 from .common import read
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op5_url_filter": lambda spark, d: linkgraph.digest(read(spark, d, "pages")),
+    "op8_media_columns": lambda spark, d: flac.digest(read(spark, d, "documents")),
 }
 
 ORACLE_SQL: dict[str, str] = {}

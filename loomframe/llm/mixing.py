@@ -31,6 +31,8 @@ from .tokens import SPACE_TABLE, pieces, text_bytes, words
 
 MOST = 3
 SLICE_ROWS = 2_000
+#: Virtual time at which no more passes are queued; the budget ends about 1.
+HORIZON = 2.0
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +102,7 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     d = d.join(F.broadcast(per) if _few(per) else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     # pass e of a document ends at virtual time (e * source_size + upto) / target; 1 is the end of the budget
     ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (e * F.col("source_size") + F.col("upto")) / F.col("target"))
-    d = d.withColumn("ends", F.when((F.col("target") > 0) & (F.col("size") > 0), F.filter(ends, lambda v: v < 1 + 1e-9)).otherwise(F.array().cast("array<double>")))
+    d = d.withColumn("ends", F.when((F.col("target") > 0) & (F.col("size") > 0), F.filter(ends, lambda v: v <= HORIZON)).otherwise(F.array().cast("array<double>")))
     d = cut(d)
     grid = 1 << bits
     at = d.select(F.explode("ends").alias("v"), "size").withColumn("cell", F.floor(F.col("v") * grid))
