@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontam, flac, linkgraph, mixing
+from . import decontam, flac, langid, linkgraph, mixing, quality
 from .common import read
 
 QUERIES = {
     "op2_mixing": lambda spark, d: mixing.digest(read(spark, d, "documents")),
+    "op3_language_id": lambda spark, d: langid.digest(read(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op5_url_filter": lambda spark, d: linkgraph.digest(read(spark, d, "pages")),
     "op8_media_columns": lambda spark, d: flac.digest(read(spark, d, "documents")),
+    "op10_quality": lambda spark, d: quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 
 ORACLE_SQL: dict[str, str] = {}
