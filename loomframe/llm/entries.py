@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, flac, langid, linkgraph, mixing, quality
+from . import decontam, flac, langid, linkgraph, mixing, quality, setsketch
 from .common import read
 
 QUERIES = {
+    "op1_near_duplicates": lambda spark, d: setsketch.digest(read(spark, d, "documents")),
     "op2_mixing": lambda spark, d: mixing.digest(read(spark, d, "documents")),
     "op3_language_id": lambda spark, d: langid.digest(read(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
