@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, flac, langid, linkgraph, mixing, quality, setsketch
+from . import decontam, flac, htmlmain, langid, licenses, linkgraph, mixing, quality, setsketch, surrogate
 from .common import read
 
 QUERIES = {
@@ -11,7 +11,10 @@ QUERIES = {
     "op3_language_id": lambda spark, d: langid.digest(read(spark, d, "documents")),
     "op4_decontamination": lambda spark, d: decontam.digest(read(spark, d, "documents"), read(spark, d, "benchmark")),
     "op5_url_filter": lambda spark, d: linkgraph.digest(read(spark, d, "pages")),
+    "op6_pii_surrogates": lambda spark, d: surrogate.digest(read(spark, d, "documents")),
+    "op7_license_scan": lambda spark, d: licenses.digest(read(spark, d, "documents")),
     "op8_media_columns": lambda spark, d: flac.digest(read(spark, d, "documents")),
+    "op9_html_main_text": lambda spark, d: htmlmain.digest(read(spark, d, "pages")),
     "op10_quality": lambda spark, d: quality.digest(read(spark, d, "documents"), read(spark, d, "labels")),
 }
 

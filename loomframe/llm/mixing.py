@@ -126,3 +126,30 @@ def _few(per: DataFrame, most: int = 10_000) -> bool:
 
 def digest(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents (all columns) and copy: a row for every pass over a document that the mix takes.
+
+    Rows that agree in id, source and size are told apart by their number in text order.
+    """
+    key = ["doc_id", "source", "size"]
+    plan = mix(docs).where("taken > 0").select(*key, (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("copies").desc())))
+    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("n").alias("_n"), "copies")
+    d = with_size(docs).withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_number") == F.col("_n"))
+    return d.join(plan, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+
+
+def with_size(docs: DataFrame) -> DataFrame:
+    """The documents and _words, their size."""
+    cols = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = next(iter(_sizes([pa.RecordBatch.from_arrays([batch.column(cols.index(c)) for c in ("doc_id", "source", "text")], names=["doc_id", "source", "text"])]))).column("size")
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(cols))], size], names=[*cols, "_words"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{schema}, _words long")
