@@ -93,7 +93,7 @@ def majority(df: DataFrame, keys: list[str], vote: str, value: str, pos: str) ->
 
 def sizes_for(n: Column) -> Column:
     """2, 4, 8, ... below n, then n (null for a single sample)."""
-    powers = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.shiftleft(F.lit(1), i))
+    powers = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.pow(F.lit(2.0), i).cast("int"))
     return F.when(n > 1, F.array_append(F.filter(powers, lambda k: k < n), n.cast("int")))
 
 

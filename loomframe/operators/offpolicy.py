@@ -78,14 +78,19 @@ def rejection_mask(df: DataFrame, options: str, threshold, mask: str = "mask") -
     for o in names:
         low, high = bounds[o]
         df = df.withColumn(f"rs_{o}", statistic(o, F.col("_lr"), mask))
-        ok = (lambda s: (s >= math.log(low)) & (s <= math.log(high))) if low is not None else (lambda s: s <= high)
-        if o.startswith("token"):
-            kept = F.zip_with(kept, f"rs_{o}", lambda k, s, ok=ok: F.when(ok(s), k).otherwise(k * 0))
-        else:
-            kept = F.transform(kept, lambda k, ok=ok, o=o: F.when(ok(F.col(f"rs_{o}")), k).otherwise(k * 0))
+        kept = _restricted(kept, o, low, high)
     return df.withColumn("kept_mask", kept).drop("_lr")
 
 
+def _restricted(mask: Column, option: str, low: float | None, high: float) -> Column:
+    def ok(s: Column) -> Column:
+        return (s >= math.log(low)) & (s <= math.log(high)) if low is not None else s <= high
+
+    if option.startswith("token"):
+        return F.zip_with(mask, f"rs_{option}", lambda k, s: F.when(ok(s), k).otherwise(k * 0))
+    return F.transform(mask, lambda k: F.when(ok(F.col(f"rs_{option}")), k).otherwise(k * 0))
+
+
 def importance_weights(df: DataFrame, level: str = "token", cap: float = 2.0, normalise: bool = False, mask: str = "mask") -> DataFrame:
     """Truncated importance weights in is_weights, by token or by sequence, optionally to mean 1."""
     r = log_ratio()

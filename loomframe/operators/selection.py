@@ -1,7 +1,5 @@
 """Online data selection: histories, similarity interpolation, cluster allocation, bandit weights, budgets."""
 
-from __future__ import annotations
-
 import hashlib
 from dataclasses import dataclass, field
 
@@ -506,23 +504,16 @@ def quantile_weights(state: DataFrame, level: float) -> DataFrame:
     """Upper-confidence weights: a quantile of p (1 - p) under the posterior."""
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_upper_quantile(x, y, level) for x, y in zip(a, b)])
-
+    udf = F.pandas_udf(lambda a, b: pd.Series([_upper_quantile(x, y, level) for x, y in zip(a, b)]), "double")
     return state.withColumn("weight", udf(F.col("a") + 1, F.col("b") + 1))
 
 
 def thompson_weights(state: DataFrame, seed: int, temperature: float = 1.0, form: int = 1) -> DataFrame:
     """Weights of one keyed Beta draw a row."""
+    import numpy as np
     import pandas as pd
 
-    @F.pandas_udf("double")
-    def udf(key: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        import numpy as np
-
-        return pd.Series([np.random.default_rng(abs(int(k))).beta(x, y) for k, x, y in zip(key, a, b)])
-
+    udf = F.pandas_udf(lambda key, a, b: pd.Series([np.random.default_rng(abs(int(k))).beta(x, y) for k, x, y in zip(key, a, b)]), "double")
     draw = udf(F.xxhash64(F.lit(seed), "idx"), (F.col("a") + 1) / temperature, (F.col("b") + 1) / temperature)
     return state.withColumn("_p", draw).withColumn("weight", learnability(F.col("_p"), form)).drop("_p")
 
@@ -553,7 +544,7 @@ def first_per_key(df: DataFrame, key: str, n: int = 32, order: str = "row_idx")
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), order).alias("_r")).select(key, "_r.*").orderBy(order).limit(n)
 
 
-def contrast(df: DataFrame, real: str, null: str, mask: str) -> Column:
+def contrast(real, null, mask) -> Column:
     """Masked mean of log-probability differences, the count at least 1."""
     return A.masked_sum(F.zip_with(real, null, lambda a, b: a - b), mask) / F.greatest(A.count_mask(mask), F.lit(1.0))
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import batch_queries, select_queries, token_queries  # noqa: F401  (they register themselves)
+from .views import ORACLE_SQL, QUERIES  # noqa: F401
