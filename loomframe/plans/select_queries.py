@@ -48,15 +48,15 @@ query(
 
 
 def _samples(spark, d):
-    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("uid"), (F.col("o_totalprice") / 1000).alias("acc"), F.col("o_orderstatus").alias("pred"), F.col("o_orderkey").alias("pos"))
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("uid"), (F.col("o_totalprice") / 7919.0).alias("acc"), F.col("o_orderstatus").alias("pred"), F.col("o_orderkey").alias("pos"))
 
 
 query(
     "majority_vote",
-    "WITH v AS (SELECT o_orderpriority AS source, o_custkey AS uid, o_orderstatus AS pred, count(*) AS n, min(o_orderkey) AS f, arg_min(o_totalprice / 1000, o_orderkey) AS val FROM orders GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source, uid ORDER BY n DESC, f) AS k FROM v) SELECT source, uid, round(val, 6) + 0.0 AS maj FROM k WHERE k = 1",
+    "WITH v AS (SELECT o_orderpriority AS source, o_custkey AS uid, o_orderstatus AS pred, count(*) AS n, min(o_orderkey) AS f, arg_min(o_totalprice / 7919.0, o_orderkey) AS val FROM orders GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY source, uid ORDER BY n DESC, f) AS k FROM v) SELECT source, uid, round(val, 6) + 0.0 AS maj FROM k WHERE k = 1",
 )(lambda spark, d: rounded(Q.majority(_samples(spark, d), ["source", "uid"], "pred", "acc", "pos"), "maj"))
 
-_BEST = "WITH s AS (SELECT {keys}, o_totalprice / 1000 AS x, row_number() OVER (PARTITION BY {keys} ORDER BY o_totalprice) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM orders), ks AS (SELECT DISTINCT {keys2}, n, k FROM s, (SELECT unnest([2, 4, 8, 16, 32, 64]) AS k) WHERE k < n UNION SELECT DISTINCT {keys2}, n, n FROM s WHERE n > 1), b AS (SELECT {keys2}, s.n, k, sum(x * (pow(i / s.n::DOUBLE, k) - pow((i - 1) / s.n::DOUBLE, k))) AS best, sum(x * (pow((s.n - i + 1) / s.n::DOUBLE, k) - pow((s.n - i) / s.n::DOUBLE, k))) AS worst FROM s JOIN ks USING ({keys2}) GROUP BY {keys2}, s.n, k)"
+_BEST = "WITH s AS (SELECT {keys}, o_totalprice / 7919.0 AS x, row_number() OVER (PARTITION BY {keys} ORDER BY o_totalprice) AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM orders), ks AS (SELECT DISTINCT {keys2}, n, k FROM s, (SELECT unnest([2, 4, 8, 16, 32, 64]) AS k) WHERE k < n UNION SELECT DISTINCT {keys2}, n, n FROM s WHERE n > 1), b AS (SELECT {keys2}, s.n, k, sum(x * (pow(i / s.n::DOUBLE, k) - pow((i - 1) / s.n::DOUBLE, k))) AS best, sum(x * (pow((s.n - i + 1) / s.n::DOUBLE, k) - pow((s.n - i) / s.n::DOUBLE, k))) AS worst FROM s JOIN ks USING ({keys2}) GROUP BY {keys2}, s.n, k)"
 _BK = _BEST.format(keys="o_custkey", keys2="o_custkey")
 query("best_worst_of_k", _BK + " SELECT o_custkey AS uid, n, CAST(k AS INTEGER) AS k, round(best, 5) + 0.0 AS best, round(worst, 5) + 0.0 AS worst FROM b")(
     lambda spark, d: rounded(Q.sample_metrics(_samples(spark, d), ["uid"], "acc").where("k is not null").select("uid", "n", "k", "best", "worst"), "best", "worst", digits=5)
@@ -64,7 +64,7 @@ query("best_worst_of_k", _BK + " SELECT o_custkey AS uid, n, CAST(k AS INTEGER)
 _BV = _BEST.format(keys="o_orderpriority, o_custkey", keys2="o_orderpriority, o_custkey")
 query(
     "validation_metrics",
-    _BV + ", m AS (SELECT o_orderpriority, o_custkey, count(*) AS n, avg(o_totalprice / 1000) AS mean, stddev_pop(o_totalprice / 1000) AS std FROM orders GROUP BY ALL), r AS (SELECT o_orderpriority AS source, 'mean@' || n AS name, mean AS v FROM m UNION ALL SELECT o_orderpriority, 'std@' || n, std FROM m WHERE n > 1 UNION ALL SELECT o_orderpriority, 'best@' || k, best FROM b UNION ALL SELECT o_orderpriority, 'worst@' || k, worst FROM b) SELECT source, name, round(avg(v), 5) + 0.0 AS value FROM r GROUP BY source, name",
+    _BV + ", m AS (SELECT o_orderpriority, o_custkey, count(*) AS n, avg(o_totalprice / 7919.0) AS mean, stddev_pop(o_totalprice / 7919.0) AS std FROM orders GROUP BY ALL), r AS (SELECT o_orderpriority AS source, 'mean@' || n AS name, mean AS v FROM m UNION ALL SELECT o_orderpriority, 'std@' || n, std FROM m WHERE n > 1 UNION ALL SELECT o_orderpriority, 'best@' || k, best FROM b UNION ALL SELECT o_orderpriority, 'worst@' || k, worst FROM b) SELECT source, name, round(avg(v), 5) + 0.0 AS value FROM r GROUP BY source, name",
 )(lambda spark, d: rounded(Q.validation(_samples(spark, d), "source", "uid", "acc"), "value", digits=5))
 query("bootstrap_metrics")(lambda spark, d: rounded(Q.bootstrap(_samples(spark, d), ["uid"], "acc", "pos", 2, rounds=200), "best_mean", "best_std", "worst_mean", "worst_std"))
 query(
@@ -103,7 +103,7 @@ query("percentiles", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean, max
 query("slowest_rows", "SELECT event_type, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY event_type")(
     lambda spark, d: rounded(Q.slowest(table(spark, d, "events"), ["event_type"], F.col("value"), "event_id"), "min", "max", "mean").drop("slowest_event_id")
 )
-query("source_means", "WITH p AS (SELECT o_orderpriority AS source, o_custkey, avg(o_totalprice / 1000) AS m FROM orders GROUP BY ALL) SELECT source, round(avg(m), 5) + 0.0 AS mean_score, count(*) AS prompts FROM p GROUP BY source")(
+query("source_means", "WITH p AS (SELECT o_orderpriority AS source, o_custkey, avg(o_totalprice / 7919.0) AS m FROM orders GROUP BY ALL) SELECT source, round(avg(m), 5) + 0.0 AS mean_score, count(*) AS prompts FROM p GROUP BY source")(
     lambda spark, d: rounded(Q.source_means(_samples(spark, d), "source", "uid", "acc"), "mean_score", digits=5)
 )
 query("selection_gini", "WITH f AS (SELECT user_id, count(*) AS f FROM events GROUP BY user_id), i AS (SELECT f, row_number() OVER (ORDER BY f, user_id) AS i FROM f) SELECT round(2 * sum(i * f) / (count(*) * sum(f)) - (count(*) + 1) / count(*), 6) + 0.0 AS gini FROM i")(
