@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOCK = 1024
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Rows that a worker encodes or decodes at a time.
+ROWS = 128
 RATE = 8000
 
 
@@ -410,17 +412,16 @@ def _in_step(data: np.ndarray, begin: np.ndarray, count: np.ndarray, k: np.ndarr
     return out
 
 
-def decode(streams: list[bytes]) -> list[tuple[dict, np.ndarray, np.ndarray]]:
-    """(header, samples [channel, n], first sample of each block) of every stream."""
-    out, at = [], 0
+def decode(streams: list[bytes]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
+    """(header, samples [channel, n], first sample of each block) of every stream, a piece at a time in memory."""
+    at = 0
     while at < len(streams):
         to, size = at, 0
         while to < len(streams) and (to == at or size + len(streams[to]) <= PIECE):
             size += len(streams[to])
             to += 1
-        out += _decode_piece(streams[at:to])
+        yield from _decode_piece(streams[at:to])
         at = to
-    return out
 
 
 def _decode_piece(streams: list[bytes]):
@@ -468,7 +469,7 @@ def _decode_piece(streams: list[bytes]):
                     x = np.cumsum(x, axis=0) + np.diff(warm, n=level, axis=1)[:, -1]
                 for c, k in enumerate(at):
                     i, j, _, n = quick[k][:4]
-                    made[i][j] = np.concatenate([warm[c], x[: n - o, c]])[None]
+                    made[i][j] = np.concatenate([warm[c], x[: n - o, c]])[None].astype(np.int32)
         for k in np.flatnonzero(orders < 0):
             i, j, _, n, order, _, warm, coef, sh = quick[k]
             x = list(warm)
@@ -503,8 +504,8 @@ def store_text(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
                 texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
                 media = encode([t + bytes(-len(t) % 64 or 64 * (not t)) for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -518,8 +519,8 @@ def read_blocks(media: DataFrame, key: str = "doc_id", column: str = "media") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 256):
-                batch = big.slice(at, 256)
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
                 ids, rows = batch.column(key).to_pylist(), []
                 for i, (head, x, first) in zip(ids, decode([s or b"" for s in batch.column(column).to_pylist()])):
                     ends = [*first[1:], x.shape[1]]
@@ -543,16 +544,18 @@ def digest(docs: DataFrame) -> DataFrame:
     media = store_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            stored = batch.column("media").to_pylist()
-            rows = []
-            for s, (_, x, _) in zip(stored, decode(stored)):
-                back = (x[0] + 128).astype(np.uint8).tobytes()
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(s), hashlib.sha256(s).hexdigest(), features(x[0])))
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "n_bytes", *names])
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
+                stored = batch.column("media").to_pylist()
+                rows = []
+                for s, (_, x, _) in zip(stored, decode(stored)):
+                    back = (x[0] + 128).astype(np.uint8).tobytes()
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(s), hashlib.sha256(s).hexdigest(), features(x[0])))
+                cols = list(zip(*rows)) if rows else [[]] * 6
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "n_bytes", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
