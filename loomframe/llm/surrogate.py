@@ -11,7 +11,7 @@ The collision check looks up all surrogates among all entities of the corpus:
 a surrogate that is itself somebody's entity is drawn again with the next key tweak,
 until none is left or they outnumber `EXCEPTIONS`, when the format is too full for it.
 
-Texts are never shuffled: entities are cut out and put back in place by array functions.
+Texts are never shuffled: lines are cut at their entities and put together again by array functions.
 Defined cases: a null text stays null; texts without an entity are returned unchanged, byte for
 byte; repeated rows and equal entities get equal surrogates; extra columns
 pass through; an empty table gives an empty result.
@@ -42,23 +42,26 @@ FEMALE = ["Alice", "Anna", "Camille", "Carmen", "Claire", "Elena", "Emma", "Gret
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = r"(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Señora?|Sra?\.|Monsieur|Madame|Mme)"
-_SECRET = r"(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\s{0,3}[=:]\s{0,3}[\"']?"
+_SECRET_WORD = r"(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)"
+_SECRET = rf"{_SECRET_WORD}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
 #: (kind, pattern); the first that fits at a position wins.
 PATTERNS = [
-    ("mail", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
-    ("secret", rf"(?<={_SECRET})[A-Za-z0-9+/_\-]{{8,}}"),
+    ("mail", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
+    # cheap tests of the neighbours stand before the wide look-behind
+    ("secret", rf"(?<![A-Za-z0-9+/_\-])(?<=[=:\"' \t])(?=[A-Za-z0-9+/_\-]{{8}})(?<=[=:][ \t]{{0,3}}[\"']?)(?<={_SECRET})[A-Za-z0-9+/_\-]{{8,}}"),
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("address", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
     ("phone", r"(?<!\d)(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d\-])\d{3}-\d{4}(?![\d\-])"),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("number", r"(?<!\d)\d{4}(?:[ \-]\d{4}){3}(?!\d)|(?<!\d)\d{9,19}(?!\d)"),
-    ("hex", r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{32,}(?![0-9A-Za-z])"),
-    ("name", rf"(?<=\b{_TITLE}\s)\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?"),
+    ("hex", r"(?<![0-9A-Za-z])(?=[0-9a-f]{32})(?=[a-f]*\d)[0-9a-f]{32,}(?![0-9A-Za-z])"),
+    ("name", rf"(?<= )(?=\p{{Lu}}\p{{Ll}})(?<=\b{_TITLE} )\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: What every entity needs somewhere in the text.
-HINT = rf"[0-9@]|{_TITLE}\s\p{{Lu}}|{_SECRET}[A-Za-z]"
+#: What a line with an entity holds; entities do not cross line feeds.
+HINT = r"[0-9@=:]|M(?:[rs]|iss|adame|onsieur|me)|Dr|Herr|Frau|S(?:eñor|ra?\.)"
+MARK = "\u0001"
 
 
 def _stream(key: Column, tag: Column, turn: Column, other: Column, size: Column) -> Column:
@@ -217,9 +220,26 @@ def surrogate(e: Column, key: Column) -> Column:
     )
 
 
+def _pieces(line: Column) -> Column:
+    """A line cut at its entities: what lies between them at even places, entities at odd ones.
+
+    One pass marks the entities; a line that holds the mark itself is cut by a second match.
+    """
+    marked = F.split(F.regexp_replace(line, PATTERN, f"{MARK}$0{MARK}"), MARK, -1)
+    found = F.regexp_extract_all(line, F.lit(PATTERN), 0)
+    zipped = F.flatten(F.zip_with(F.split(line, PATTERN, -1), found, lambda a, b: F.when(b.isNull(), F.array(a)).otherwise(F.array(a, b))))
+    return F.when(F.contains(line, F.lit(MARK)), zipped).otherwise(marked)
+
+
+def _found(text: Column) -> Column:
+    """The entities of a text, with repeats."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(HINT))
+    return F.flatten(F.transform(lines, lambda x: F.filter(_pieces(x), lambda p, i: i % 2 == 1)))
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """entity, kind, surrogate candidates' source: every distinct entity of all texts."""
-    found = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), 0))).alias("entity"))
+    """entity, texts: every distinct entity of all texts, and in how many it occurs."""
+    found = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.array_distinct(_found(F.col("text")))).alias("entity"))
     return found.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
 
 
@@ -252,31 +272,37 @@ def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
     return out
 
 
-def replaced(text: Column, key: str = KEY, other: dict[str, str] | None = None) -> Column:
-    """The text with every entity replaced in place."""
+def _lines(text: Column, key: str, other: dict[str, str] | None) -> Column:
+    """Array of (out, n): each line with its entities replaced, and their number."""
+    table = F.create_map(*[F.lit(x) for pair in sorted((other or {}).items()) for x in pair]) if other else None
 
     def one(e: Column) -> Column:
         new = surrogate(e, F.lit(key))
-        if other:
-            table = F.create_map(*[F.lit(x) for pair in sorted(other.items()) for x in pair])
-            new = F.coalesce(F.try_element_at(table, e), new)
-        return new
+        return F.coalesce(F.try_element_at(table, e), new) if table is not None else new
+
+    def put_back(parts: Column) -> Column:
+        out = F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 1, one(p)).otherwise(p)), "")
+        return F.struct(out.alias("out"), ((F.size(parts) - 1) / 2).cast("int").alias("n"))
+
+    plain = lambda x: F.struct(x.alias("out"), F.lit(0).alias("n"))
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(HINT), _let(_pieces(x), put_back)).otherwise(plain(x)))
 
-    found = F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 0), one)
-    rest = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.zip_with(rest, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(text.rlike(HINT), whole).otherwise(text)
+
+def replaced(text: Column, key: str = KEY, other: dict[str, str] | None = None) -> Column:
+    """(out, n): the text with every entity replaced in place, and their number."""
+    whole = _let(_lines(text, key, other), lambda z: F.struct(F.array_join(z["out"], "\n").alias("out"), F.aggregate(z["n"], F.lit(0), lambda s, n: s + n).alias("n")))
+    return F.when(text.rlike(HINT), whole).otherwise(F.struct(text.alias("out"), F.lit(0).alias("n")))
 
 
 def anonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents (all columns) with surrogates in their texts."""
     other = exceptions(docs, key)
-    new = replaced(F.col("text"), key, other)
+    new = replaced(F.col("text"), key, other)["out"]
     return docs.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def digest(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text, n_entities of every document."""
     other = exceptions(docs, key)
-    n = F.when(F.col("text").rlike(HINT), F.size(F.regexp_extract_all("text", F.lit(PATTERN), 0))).otherwise(0)
-    return docs.select("doc_id", replaced(F.col("text"), key, other).alias("text"), F.coalesce(n, F.lit(0)).cast("long").alias("n_entities"))
+    made = docs.select("doc_id", replaced(F.col("text"), key, other).alias("z"))
+    return made.select("doc_id", F.col("z.out").alias("text"), F.col("z.n").cast("long").alias("n_entities"))
