@@ -327,14 +327,17 @@ def digest(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents (all columns), one of each component.
 
-    Of rows that share a kept doc_id one stays, and of rows without id one of each text.
+    Of rows that share a kept doc_id one stays, and of rows without id one of each text that
+    no row with an id has.
     """
     kept = near_duplicates(docs, width, num, den).where("kept")
     ids = kept.where("doc_id is not null").select("doc_id").distinct()
     with_id = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     without = docs.where("doc_id is null").dropDuplicates(["text"])
-    known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("_h"), F.col("text").alias("_t"))
-    without = without.withColumn("_h", F.xxhash64("text")).join(known, (F.col("_h") == known["_h"]) & F.col("text").eqNullSafe(F.col("_t")), "left_anti") if not without.isEmpty() else without
+    if not without.isEmpty():
+        known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("_known"), F.col("text").alias("_known_text"))
+        without = without.withColumn("_hash", F.xxhash64("text"))
+        without = without.join(known, (F.col("_hash") == F.col("_known")) & F.col("text").eqNullSafe(F.col("_known_text")), "left_anti")
     return with_id.select(*docs.columns).unionByName(without.select(*docs.columns))
 
 
