@@ -165,8 +165,11 @@ def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The documents (all columns) without any benchmark window."""
-    return find(docs, benchmark, docs.columns, width, spans=False).where(~F.col("any_item")).select(*docs.columns)
+    """The documents (all columns, of whatever names) without any benchmark window."""
+    inner = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    free = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, inner)])
+    kept = find(free, benchmark, inner, width, spans=False).where(~F.col("any_item"))
+    return kept.select(*[F.col(k).alias(c) for c, k in zip(docs.columns, inner)])
 
 
 def brute_digest(doc: str | None, items: list[tuple[object, str | None]], width: int = WIDTH):

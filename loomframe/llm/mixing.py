@@ -134,12 +134,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     Rows that agree in id, source and size are told apart by their number in text order.
     """
     key = ["doc_id", "source", "size"]
-    plan = mix(docs).where("taken > 0").select(*key, (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("copies").desc())))
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("n").alias("_n"), "copies")
+    plan = mix(docs).where("taken > 0").select(*key, (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("_copies").desc())))
+    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("n").alias("_n"), "_copies")
     d = with_size(docs).withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")))
     same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_number") == F.col("_n"))
-    return d.join(plan, same).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    name = "copy" if "copy" not in docs.columns else "copy_"
+    return d.join(plan, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(name))
 
 
 def with_size(docs: DataFrame) -> DataFrame:

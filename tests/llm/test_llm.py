@@ -134,7 +134,7 @@ def test_mixing_defined_cases(spark):
     assert mixing.mix(df).count() == len(ODD) and mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(docs_of(spark, ["", None])).agg(F.sum("taken")).first()[0] == 0
     clash = df.withColumn("copies", F.lit(9)).withColumn("key", F.lit("k"))
-    assert mixing.mixed(clash).columns == [*clash.columns, "copy"]
+    assert mixing.mixed(clash).columns == [*clash.columns, "copy"] and mixing.mixed(clash).count() > 0
 
 
 # ---- 3 and 10
@@ -241,7 +241,7 @@ def test_decontamination_against_brute_force(spark):
     sharded = decontam.find(docs, bench, ["doc_id"], spans=False, shard_bytes=2000)
     assert {r["doc_id"]: (r["n_words"], len(r["hit_words"]), len(r["items"])) for r in sharded.collect()} == {i: w[:3] for i, w in want.items()}
     clash = docs.withColumn("n_words", F.lit(1))
-    assert decontam.find(docs, bench.limit(0), ["doc_id"]).where("any_item").isEmpty() and decontam.clean(clash.drop("n_words"), bench).columns == docs.columns
+    assert decontam.find(docs, bench.limit(0), ["doc_id"]).where("any_item").isEmpty() and decontam.clean(clash, bench).columns == clash.columns and decontam.clean(clash, bench).count() == sum(not w[4] for w in want.values())
 
 
 def test_spans_point_into_the_original(spark):
