@@ -2,9 +2,10 @@
 
 A page is a sequence of words and tags.  Words score positive where labelled pages have
 them inside the article, tags score negative, both by log odds learned from the labelled pages,
-that is pages that mark exactly one main element (article, main or role="main").  One linear scan
-finds the contiguous region of the greatest sum; of it the text of elements that
-are never part of an article (menus, sidebars, adverts, forms, scripts and the like) is left out.
+that is pages that mark exactly one main element: the only article, else the only main (or role="main").  One linear scan
+finds the contiguous region of the greatest sum.  Elements that are never part of an article
+(menus, sidebars, adverts, forms, scripts and the like) neither add nor take, so that one amid an article does
+not cut it in two, and their text is left out of the region.
 
 Defined cases: null or empty html, and pages without any positive word, give an
 empty text; unclosed and stray tags are tolerated; an unknown tag is inline; without
@@ -41,10 +42,12 @@ _OUTSIDE = re.compile(
     r"(?:^|[\s_\-])(?:ads?|advert\w*|adsbygoogle|sponsor\w*|promo\w*|banner|side|sidebar\w*|nav\w*|menu\w*|breadcrumbs?|footer|foot|masthead|topbar|site-header|page-header|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|share|sharing|social|related|recommended|comments?|commentlist|reply|replies|respond|disqus|newsletter|subscribe|signup|login|widget\w*|toolbar|pagination|pager|search|navigation|complementary|contentinfo|dialog|skip-link)(?:$|[\s_\-])",
     re.I,
 )
+_ARTICLE, _MAINS = re.compile(r"<article\b", re.I), re.compile(r"<main\b|role\s*=\s*[\"']?main\b", re.I)
 _MAIN = re.compile(r"(?:^|[\s_\-])(?:main|articleBody)(?:$|[\s_\-])")
 #: Weights if no page is labelled: words in plain and in outside places, and tags.
-PRIOR = {"w:plain": 1.0, "w:link": -1.0, "w:outside": -3.0, "t:*": -0.05, "t:outside": -3.0}
-LIMIT = 3.0
+PRIOR = {"w:plain": 1.0, "w:link": -1.0, "w:outside": -3.0, "w:skip": 0.0, "t:*": -0.05, "t:skip": 0.0}
+#: A lone word outweighs the tags around it, so that short blocks at either end stay.
+LIMIT, TAG_LIMIT = 3.0, 0.25
 
 
 def _marks(attrs: str) -> tuple[bool, bool]:
@@ -66,9 +69,12 @@ def events(page: str | None) -> list[tuple]:
     """The page as a list of ("t", type, block break, inside) and ("w", type, text, inside).
 
     `inside` is true within a main element, of which `mains` in the first event's place counts
-    the number: the list starts with ("n", mains).
+    the number: the list starts with ("n", mains).  Types ending in "skip" stand in elements that are
+    never part of an article; "w:outside" are words beside a page's only main element.
     """
     page = page or ""
+    by_article = len(_ARTICLE.findall(page)) == 1
+    sole = by_article or len(_MAINS.findall(page)) == 1
     out: list[tuple] = [("n", 0)]
     stack: list[tuple[str, bool, bool]] = []  # name, outside, main
     outside = links = inside = mains = 0
@@ -76,7 +82,8 @@ def events(page: str | None) -> list[tuple]:
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
-            out.append(("w", "w:outside" if outside else "w:link" if links else "w:plain", _html.unescape(raw), inside > 0))
+            kind = "w:skip" if outside else "w:outside" if sole and not inside else "w:link" if links and not sole else "w:plain"
+            out.append(("w", kind, _html.unescape(raw), inside > 0))
         elif raw:
             out.append(("w", "w:plain", " ", inside > 0))
 
@@ -93,7 +100,7 @@ def events(page: str | None) -> list[tuple]:
             text(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            out.append(("t", "t:" + m["raw"].lower(), False, inside > 0))
+            out.append(("t", "t:skip", False, inside > 0))
             continue
         if not m["name"]:
             continue
@@ -103,11 +110,11 @@ def events(page: str | None) -> list[tuple]:
             hidden = outside > 0
             if k is not None:
                 leave(k)
-            out.append(("t", "t:outside" if hidden else "t:/" + name if name in BLOCK else "t:inline", name in BLOCK, inside > 0))
+            out.append(("t", "t:skip" if hidden else "t:/" + name if name in BLOCK else "t:inline", name in BLOCK, inside > 0))
             continue
         o, main = _marks(m["attrs"])
         o = o or name in NEVER or name == "header" and not inside
-        main = main or name in ("article", "main")
+        main = name == "article" if by_article else main or name == "main"
         main = main and not inside
         if name in BLOCK and stack and stack[-1][0] == "p" and name != "p" or name == "p":
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
@@ -122,7 +129,7 @@ def events(page: str | None) -> list[tuple]:
             outside += o
             inside += main
             links += name == "a"
-        out.append(("t", "t:outside" if outside else "t:" + name if name in BLOCK else "t:inline", name in BLOCK, inside > 0))
+        out.append(("t", "t:skip" if outside else "t:" + name if name in BLOCK else "t:inline", name in BLOCK, inside > 0))
         if name == "br":
             out.append(("w", "w:plain", " ", inside > 0))
     if at < len(page):
@@ -157,7 +164,7 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
             if e[2] and open_:
                 blocks.append("".join(open_))
                 open_ = []
-        elif e[0] == "w" and e[1] != "w:outside":
+        elif e[1] in ("w:plain", "w:link"):
             open_.append(e[2])
     blocks.append("".join(open_))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
@@ -200,10 +207,10 @@ def weights_of(counts: dict[str, tuple[int, int]]) -> dict[str, float]:
     out = dict(PRIOR)
     for kind, (i, o) in counts.items():
         odds = max(-LIMIT, min(LIMIT, math.log((i + 0.5) / (o + 0.5))))
-        out[kind] = min(odds, -0.001) if kind.startswith("t:") else odds
+        out[kind] = max(min(odds, -0.001), -TAG_LIMIT) if kind.startswith("t:") else odds
     out["w:plain"] = max(out["w:plain"], 0.5)  # words of a plain place are positive
     out["w:outside"] = min(out["w:outside"], -0.5)
-    out["t:outside"] = min(out["t:outside"], -0.5)
+    out["w:skip"] = out["t:skip"] = 0.0
     return out
 
 
