@@ -231,7 +231,7 @@ def adapted_betas(kl: Column, beta: float, target: float, steps: int, horizon: f
 
 
 def resample_weights(score: Column, method: str = "pow", power: float = 2.0) -> Column:
-    """Positive weights by score, at least 1e-8."""
+    """Weights by score plus 1e-8, so that every row may be drawn."""
     if method == "pow":
         w = F.pow(F.abs(score), power)
     elif method == "max_min":
@@ -240,7 +240,7 @@ def resample_weights(score: Column, method: str = "pow", power: float = 2.0) ->
         w = F.when(score == F.max(score).over(Window.partitionBy()), 0.4).otherwise(0.1)
     else:
         raise ValueError(f"unknown method {method}")
-    return F.greatest(w, F.lit(1e-8))
+    return w + 1e-8
 
 
 def resampled(df: DataFrame, weight: str, n: int, seed: int = 0) -> DataFrame:

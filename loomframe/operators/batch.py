@@ -214,3 +214,23 @@ def dispatch(df: DataFrame, ranks: int, one_to_all: bool = False) -> DataFrame:
         return df.withColumn("rank", F.explode(F.sequence(F.lit(0), F.lit(ranks - 1))))
     n = max(df.count(), 1)
     return df.withColumn("rank", F.least(F.floor(F.col(ROW) * ranks / n), F.lit(ranks - 1)).cast("int"))
+
+
+DISPATCH: dict = {}
+
+
+def register_dispatch(name: str, spread, gather_back=None):
+    """A named way to deal rows to ranks, and to put results together (by default: one replica, in row order)."""
+    if name in DISPATCH and DISPATCH[name][0] is not spread:
+        raise ValueError(f"dispatch mode {name} is taken")
+    DISPATCH[name] = (spread, gather_back or (lambda d: d.dropDuplicates([ROW]).drop("rank")))
+
+
+register_dispatch("shards", lambda d, ranks: dispatch(d, ranks))
+register_dispatch("one_to_all", lambda d, ranks: dispatch(d, ranks, one_to_all=True))
+
+
+def run_on_ranks(df: DataFrame, mode: str, ranks: int, fn) -> DataFrame:
+    """fn over the dealt rows (a DataFrame with `rank`), collected again by the mode."""
+    spread, back = DISPATCH[mode]
+    return back(fn(spread(df, ranks)))

@@ -223,3 +223,17 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 def dense_flops(tokens: Column, squares: Column, parameters: float, layers: int, heads: int, head_dim: int) -> Column:
     """Training FLOPs of a dense decoder: 6 per parameter and token, 12 per attention pair."""
     return 6.0 * parameters * tokens + 12.0 * layers * heads * head_dim * squares
+
+
+def derived_metrics(table: DataFrame, devices: int) -> DataFrame:
+    """name, value with the metrics that follow from others put in their place: minmax_diff, throughput, idle ratio."""
+    pick = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    one = table.agg(
+        (pick("global_seqlen/max") - pick("global_seqlen/min")).alias("global_seqlen/minmax_diff"),
+        (pick("perf/total_num_tokens") / F.nullif(pick("perf/time_per_step") * devices, F.lit(0.0))).alias("perf/throughput"),
+        (pick("timing_s/gen") / F.nullif(pick("timing_s/step"), F.lit(0.0))).alias("trainer/idle_ratio"),
+        *[F.max((F.col("name") == n).cast("int")).alias(f"_{n}") for n in ("global_seqlen/minmax_diff", "perf/throughput")],
+    )
+    made = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value"), need.alias("ok")) for n, need in (
+        ("global_seqlen/minmax_diff", F.col("`_global_seqlen/minmax_diff`") == 1), ("perf/throughput", F.col("`_perf/throughput`") == 1), ("trainer/idle_ratio", F.lit(True)))])).alias("x")).select("x.*").where("ok and value is not null").drop("ok")
+    return table.join(made.select("name"), "name", "left_anti").select("name", "value").unionByName(made)

@@ -169,3 +169,33 @@ def debug_metrics(df: DataFrame, mask: str = "mask") -> DataFrame:
     x = df.select(F.explode(z).alias("x")).select(F.exp("x.a").alias("p"), F.exp("x.b").alias("q"))
     d = F.abs(F.col("p") - F.col("q"))
     return x.agg(F.max(d).alias("diff_max"), F.avg(d).alias("diff_mean"), F.stddev_samp(d).alias("diff_std"), F.corr("p", "q").alias("corr"))
+
+
+def rejection_metrics(df: DataFrame, option: str, threshold, mask: str = "mask") -> DataFrame:
+    """One row on an option's statistic over valid tokens (or rows with any): mean, max, min, deviation, fractions beyond the bounds, share of tokens and of rows dropped."""
+    low, high = thresholds([option], threshold)[option]
+    low_, high_ = (math.log(low), math.log(high)) if low is not None else (None, high)
+    d = rejection_mask(df, option, threshold, mask)
+    valid, kept = A.count_mask(mask), A.count_mask("kept_mask")
+    if option.startswith("token"):
+        x = d.select(F.explode(A.keep_valid(f"rs_{option}", mask)).alias("x"))
+    else:
+        x = d.where(valid > 0).select(F.col(f"rs_{option}").alias("x"))
+    below = F.avg((F.col("x") < low_).cast("double")) if low_ is not None else F.lit(0.0)
+    s = x.agg(F.avg("x").alias("mean"), F.max("x").alias("max"), F.min("x").alias("min"), F.stddev_pop("x").alias("std"), F.avg((F.col("x") > high_).cast("double")).alias("fraction_high"), below.alias("fraction_low"))
+    t = d.agg((1 - F.sum(kept) / F.sum(valid)).alias("masked_fraction"), F.avg((kept < valid).cast("double")).alias("seq_masked_fraction"))
+    return s.crossJoin(F.broadcast(t))
+
+
+def bypass_loss(df: DataFrame, kind: str = "ppo_clip", level: str | None = None, cap: float = 2.0, options: str | None = None, threshold=None) -> DataFrame:
+    """Rollout log-probabilities as the old policy: clipped loss without weights, or REINFORCE with weights; rejection restricts the mask."""
+    from .losses import policy_loss
+
+    d = df.withColumn("_old", F.col("old_lp")).withColumn("old_lp", F.col("lp"))  # the current policy against the rollout
+    d = corrected(d, level if kind == "reinforce" else None, cap, options=options, threshold=threshold)
+    d = bypassed(d.withColumn("mask", F.col("kept_mask")))
+    if kind == "ppo_clip":
+        return policy_loss(d.drop("is_weights"), "vanilla").withColumn("old_lp", F.col("_old")).drop("_old")
+    if kind == "reinforce":
+        return policy_loss(d, "reinforce").withColumn("old_lp", F.col("_old")).drop("_old")
+    raise ValueError(f"unknown kind {kind}")

@@ -263,6 +263,12 @@ def mmd_rows(items: DataFrame, n: int, gamma: float = 1.0) -> DataFrame:
     return items.select("idx", "vec", "cluster").groupBy("cluster").applyInPandas(run, f"cluster {t['cluster']}, idx {t['idx']}, rank int")
 
 
+def frozen_weights(df: DataFrame, value: str, floor: float = 0.05) -> DataFrame:
+    """Adds weight: the value, at least a share of the greatest one; draw with advantages.resampled."""
+    top = df.agg(F.greatest(F.max(value), F.lit(1e-12)).alias("_top"))
+    return df.crossJoin(F.broadcast(top)).withColumn("weight", F.greatest(F.coalesce(F.col(value), F.lit(0.0)), floor * F.col("_top"))).drop("_top")
+
+
 # ---- gates, scores, regressions
 
 

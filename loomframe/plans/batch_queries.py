@@ -330,3 +330,18 @@ query("sticky_servers")(lambda spark, d: table(spark, d, "events").select("event
 query("first_rows", "SELECT o_custkey, min(o_orderkey) AS row_idx FROM orders GROUP BY o_custkey ORDER BY 2 LIMIT 32")(
     lambda spark, d: L.first_per_key(table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("row_idx")), "o_custkey")
 )
+query("packed_tokens", f"WITH {TOK_SQL}, g AS (SELECT rid AS row_idx, count(*) AS n FROM tok GROUP BY rid), t AS (SELECT sum(n) AS s, max(row_idx) + 1 AS r FROM g) SELECT row_idx, CAST(n AS INTEGER) AS n FROM g UNION ALL SELECT r, CAST(4096 - s % 4096 AS INTEGER) FROM t WHERE s % 4096 > 0")(
+    lambda spark, d: D.packed_to_multiple(trajectories(spark, d).select("row_idx", F.col("mask").alias("ids")), "ids", 4096).select("row_idx", F.size("ids").alias("n"))
+)
+query("rollout_rows", f"WITH {TOK_SQL}, g AS (SELECT rid, count(*) AS n, sum(m) AS v FROM tok GROUP BY rid) SELECT rid, 20 AS width, CAST(n + 1 AS INTEGER) AS valid, CAST(v AS INTEGER) AS generated, CAST(n AS INTEGER) AS last_position FROM g")(
+    lambda spark, d: trajectories(spark, d).select(F.col("row_idx").alias("rid"), *D.rollout_row(F.array(F.lit(7)), F.transform("mask", lambda _, i: i + 1), 4, 16, response_mask="mask")).select("rid", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda s, x: s + x).alias("valid"), F.aggregate("response_mask", F.lit(0), lambda s, x: s + x).alias("generated"), F.array_max("position_ids").alias("last_position"))
+)
+query("open_answers", "SELECT c_custkey, 1.0::DOUBLE AS either, true AS same FROM customer")(
+    lambda spark, d: table(spark, d, "customer").select("c_custkey", X.either_contains(F.concat(F.lit("It is "), "c_mktsegment"), F.lower("c_mktsegment")).alias("either"), X.equal_without_punctuation(F.concat(F.col("c_name"), F.lit("!")), F.regexp_replace(F.upper("c_name"), "#", " - ")).alias("same"))
+)
+query("scored_by_function", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size::DOUBLE ELSE -1.0 END AS score FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", X.scored_by(lambda a, b: float(a) if int(a) % 2 == 0 else 1 / 0, F.col("p_size").cast("string"), F.lit(""), on_error=-1.0).alias("score"))
+)
+query("run_on_ranks", f"WITH {POS_SQL} SELECT row_idx, c_acctbal * 2 AS x FROM pos")(
+    lambda spark, d: B.run_on_ranks(positions(spark, d).select("row_idx", "c_acctbal"), "one_to_all", 3, lambda t: t.select("row_idx", "rank", (F.col("c_acctbal") * 2).alias("x")))
+)

@@ -308,3 +308,11 @@ query("traced_rows")(lambda spark, d: T.traced(table(spark, d, "events").select(
 query("chat_texts", "SELECT conv_id, turn, '<|' || role || '|>' || text || chr(10) AS t FROM conversations")(
     lambda spark, d: table(spark, d, "conversations").select("conv_id", "turn", D.chat_text(F.array(D.message(F.col("role"), F.col("text")))).alias("t"))
 )
+query("frozen_weights", "SELECT c_custkey AS idx, round(greatest(c_acctbal, 0.05 * (SELECT max(c_acctbal) FROM customer)), 6) + 0.0 AS weight FROM customer")(
+    lambda spark, d: rounded(L.frozen_weights(table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), "c_acctbal"), "c_acctbal").select("idx", "weight"), "weight")
+)
+query("derived_metrics", "WITH e AS (SELECT event_type AS t, sum(value) AS v FROM events GROUP BY event_type), m AS (SELECT sum(v) AS s, max(v) AS hi, min(v) AS lo FROM e) SELECT 'global_seqlen/max' AS name, round(hi, 4) + 0.0 AS value FROM m UNION ALL SELECT 'global_seqlen/min', round(lo, 4) + 0.0 FROM m UNION ALL SELECT 'global_seqlen/minmax_diff', round(hi - lo, 4) + 0.0 FROM m UNION ALL SELECT 'perf/total_num_tokens', round(s, 4) + 0.0 FROM m UNION ALL SELECT 'perf/time_per_step', 7.0 UNION ALL SELECT 'perf/throughput', round(s / 56.0, 4) + 0.0 FROM m")(
+    lambda spark, d: (lambda m: rounded(Q.derived_metrics(m.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), v.alias("value")) for n, v in (("global_seqlen/max", F.col("hi")), ("global_seqlen/min", F.col("lo")), ("global_seqlen/minmax_diff", F.lit(0.0)), ("perf/total_num_tokens", F.col("s")), ("perf/time_per_step", F.lit(7.0)), ("perf/throughput", F.lit(0.0)))])).alias("x")).select("x.*"), 8), "value", digits=4))(
+        table(spark, d, "events").groupBy("event_type").agg(F.sum("value").alias("v")).agg(F.sum("v").alias("s"), F.max("v").alias("hi"), F.min("v").alias("lo"))
+    )
+)

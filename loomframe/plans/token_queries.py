@@ -353,3 +353,11 @@ query(
     "probability_differences",
     f"WITH {TOK_SQL}, x AS (SELECT exp(olp) AS p, exp(rlp) AS q FROM tok WHERE m = 1) SELECT round(max(abs(p - q)), 6) + 0.0 AS diff_max, round(avg(abs(p - q)), 6) + 0.0 AS diff_mean, round(stddev_samp(abs(p - q)), 6) + 0.0 AS diff_std, round(corr(p, q), 6) + 0.0 AS corr FROM x",
 )(lambda spark, d: rounded(R.debug_metrics(trajectories(spark, d)), "diff_max", "diff_mean", "diff_std", "corr"))
+
+query(
+    "rejection_metrics",
+    f"WITH {TOK_SQL}, s AS (SELECT rid, sum(({_K['k3']}) * m) / (sum(m) + 1e-8) AS x, sum(m) AS n FROM tok GROUP BY rid), t AS (SELECT 1 - sum(CASE WHEN x <= 0.0419 THEN n ELSE 0 END) / sum(n) AS a, avg(CASE WHEN x > 0.0419 AND n > 0 THEN 1.0 ELSE 0.0 END) AS b FROM s) SELECT round(avg(x), 6) + 0.0 AS mean, round(max(x), 6) + 0.0 AS max, round(min(x), 6) + 0.0 AS min, round(stddev_pop(x), 6) + 0.0 AS std, round(avg(CASE WHEN x > 0.0419 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS fraction_high, 0.0::DOUBLE AS fraction_low, round(any_value(t.a), 6) + 0.0 AS masked_fraction, round(any_value(t.b), 6) + 0.0 AS seq_masked_fraction FROM s, t WHERE n > 0",
+)(lambda spark, d: rounded(R.rejection_metrics(trajectories(spark, d), "seq_mean_k3", 0.0419), "mean", "max", "min", "std", "fraction_high", "fraction_low", "masked_fraction", "seq_masked_fraction"))
+query("bypass_reinforce_loss", f"WITH {TOK_SQL}, x AS (SELECT m, -a * lp * least(exp(least(greatest(lp - rlp, -20), 20)) * m, 2.0) AS x FROM tok) SELECT round(sum(x * m) / sum(m), 6) + 0.0 AS loss FROM x")(
+    lambda spark, d: (lambda t: rounded(t.agg(M.agg_loss(t, "token-mean").alias("loss")), "loss"))(R.bypass_loss(trajectories(spark, d), "reinforce", "token"))
+)

@@ -141,3 +141,21 @@ def sample_conversations(spark, n: int = 4) -> DataFrame:
     i = F.col("id").cast("string")
     turns = F.array(message("system", F.lit("You are helpful.")), message("user", F.concat(F.lit("What is "), i, F.lit(" + 1?"))), message("assistant", (F.col("id") + 1).cast("string")))
     return spark.range(n).select(F.col("id").alias("row_idx"), turns.alias("messages"))
+
+
+def packed_to_multiple(df: DataFrame, tokens: str, multiple: int, pad: int = 0) -> DataFrame:
+    """One more row of padding so that all tokens together divide by `multiple`; none if they do."""
+    n = df.agg(F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("_n"), F.coalesce(F.max("row_idx") + 1, F.lit(0)).alias("row_idx"))
+    more = n.select(F.col("row_idx").cast(dict(df.dtypes)["row_idx"]).alias("row_idx"), F.pmod(-F.col("_n"), F.lit(multiple)).cast("int").alias("_more")).where("_more > 0")
+    extra = more.select("row_idx", F.array_repeat(F.lit(pad), F.col("_more")).cast(dict(df.dtypes)[tokens]).alias(tokens))
+    return df.select("row_idx", tokens).unionByName(extra)
+
+
+def rollout_row(prompt: str, response: str, prompt_width: int, response_width: int, pad: int = 0, response_mask: str | None = None) -> list[Column]:
+    """prompts (padded left), responses (padded right), their masks, joined ids and positions."""
+    p, q = A.pad(prompt, prompt_width, pad, left=True), A.pad(response, response_width, pad)
+    pm = A.pad(F.transform(prompt, lambda _: F.lit(1)), prompt_width, 0, left=True)
+    qm = A.pad(F.transform(response, lambda _: F.lit(1)), response_width, 0)
+    rm = F.zip_with(A.pad(response_mask, response_width, 0), qm, lambda a, b: a * b) if response_mask else qm
+    mask = F.concat(pm, qm)
+    return [p.alias("prompts"), q.alias("responses"), rm.alias("response_mask"), F.concat(p, q).alias("input_ids"), mask.alias("attention_mask"), A.position_ids(F.transform(mask, lambda x: x.cast("double"))).alias("position_ids")]

@@ -272,3 +272,29 @@ def test_streams_follow_the_batch_semantics(spark, tmp_path):
     q.awaitTermination(120)
     last = max((r for r in spark.table("b").collect() if r["queue"] == "x"), key=lambda r: r["produced"])
     assert (last["produced"], last["dropped"], last["size"], last["oldest_seq"], last["newest_seq"]) == (23, 19, 4, 20, 23)
+
+
+def test_bucket_and_retries():
+    now = [0.0]
+    b = X.TokenBucket(2.0, clock=lambda: now[0], sleep=lambda s: now.__setitem__(0, now[0] + s))
+    assert [b.acquire() for _ in range(4)] == pytest.approx([0, 0, 0.5, 0.5])
+    with pytest.raises(ValueError):
+        b.acquire(3)
+    waits, calls = [], []
+
+    def fails_twice():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return 7
+
+    assert X.retried(fails_twice, sleep=waits.append) == 7 and waits == [1, 2]
+    with pytest.raises(KeyError):
+        X.retried(lambda: {}["x"], fatal=KeyError, sleep=waits.append)
+
+
+def test_dispatch_registry(spark):
+    with pytest.raises(ValueError):
+        B.register_dispatch("shards", lambda d, n: d)
+    a = spark.range(5).select(F.col("id").alias("row_idx"))
+    assert B.run_on_ranks(a, "shards", 2, lambda d: d).count() == 5
