@@ -161,8 +161,8 @@ query("rl_rows", "SELECT doc_id, 'docs' AS data_source, 'user' AS role, lang AS
         "doc_id", "data_source", F.col("prompt")[0]["role"].alias("role"), F.col("prompt")[0]["content"].alias("content"), "reward_model.style", "reward_model.ground_truth", "extra_info.split", F.col("extra_info.index").alias("idx")
     )
 )
-query("tagged_truth", "SELECT doc_id, 'searchR1_' || source AS data_source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS ground_truth FROM documents")(
-    lambda spark, d: D.tagged_truth(table(spark, d, "documents").select("doc_id", F.col("source").alias("data_source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reward_ground_truth"), F.col("source").alias("golden_answers")), "searchR1_").select("doc_id", "data_source", "ground_truth")
+query("tagged_truth", "SELECT doc_id, 'search_' || source AS data_source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS ground_truth FROM documents")(
+    lambda spark, d: D.tagged_truth(table(spark, d, "documents").select("doc_id", F.col("source").alias("data_source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reward_ground_truth"), F.col("source").alias("golden_answers")), "search_").select("doc_id", "data_source", "ground_truth")
 )
 query("equal_splits", f"WITH {POS_SQL} SELECT row_idx, CAST(row_idx // 200 AS INTEGER) AS part FROM pos WHERE row_idx < 1000 AND (SELECT count(*) FROM pos) >= 1000")(
     lambda spark, d: (lambda p: p.where(F.lit(p.count() >= 1000)).where("row_idx < 1000").select("row_idx", D.equal_splits(1000, 5).alias("part")))(positions(spark, d))
