@@ -296,9 +296,14 @@ def _batches(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("b"), F.col("o_orderkey").alias("row_idx"), F.round(F.col("o_totalprice") / 100).cast("long").alias("length"))
 
 
-query("balanced_partitions")(lambda spark, d: P.partitioned(_batches(spark, d), ["b"], "length", 4))
-query("greedy_partitions")(lambda spark, d: P.partitioned(_batches(spark, d), ["b"], "length", 4, method="greedy"))
-query("micro_batches")(lambda spark, d: P.micro_batches(_batches(spark, d), ["b"], "length", 5000))
+def _global_batches(spark, d):
+    """About a thousand rows a batch, as a training step has."""
+    return _batches(spark, d).withColumn("b", F.floor(F.col("row_idx") / 1024))
+
+
+query("balanced_partitions")(lambda spark, d: P.partitioned(_global_batches(spark, d), ["b"], "length", 4))
+query("greedy_partitions")(lambda spark, d: P.partitioned(_global_batches(spark, d), ["b"], "length", 4, method="greedy"))
+query("micro_batches")(lambda spark, d: P.micro_batches(_global_batches(spark, d), ["b"], "length", 200_000))
 
 
 @query(
