@@ -250,7 +250,9 @@ def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
     """
     from .common import cut
 
-    known = cut(entities(docs).select("entity"))
+    # few bytes but much work a row: a stated number of partitions is not coalesced
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(entities(docs).select("entity").repartition(tasks, "entity"))
     made = cut(known.select("entity", surrogate(F.col("entity"), F.lit(key)).alias("new")))
     open_ = made.join(known.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
     out: dict[str, str] = {}
