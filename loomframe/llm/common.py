@@ -24,9 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder; Spark's cleaner takes the files away."""
+#: Bytes of rows that a checkpointed file of a table of known size may hold.
+FILE_BYTES = 32 << 20
+
+
+def cut(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Checkpoint into the shared folder; Spark's cleaner takes the files away.
+
+    A table of at most `rows` rows of about `row_bytes` is written in files of up to
+    FILE_BYTES, but at least as many as there are cores, instead of one per shuffle partition.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * row_bytes // FILE_BYTES)))
     return df.checkpoint()
 
 

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> Data
     # pass e of a document ends at virtual time (e * source_size + upto) / target; 1 is the end of the budget
     ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (e * F.col("source_size") + F.col("upto")) / F.col("target"))
     d = d.withColumn("ends", F.when((F.col("target") > 0) & (F.col("size") > 0), F.filter(ends, lambda v: v <= HORIZON)).otherwise(F.array().cast("array<double>")))
-    d = cut(d)
+    d = cut(d, n, 256)
     grid = 1 << bits
     at = d.select(F.explode("ends").alias("v"), "size").withColumn("cell", F.floor(F.col("v") * grid))
     cells = at.groupBy("cell").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("cell")))

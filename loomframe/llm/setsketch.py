@@ -227,15 +227,17 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     combined before the shuffle and joined back, so that a hub does not gather in one task.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
+    # no step makes more links than there were
+    count = lambda: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    seen = count()
     for _ in range(most_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         met = e.join(least, "u")
-        e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+        e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), seen[0])
+        now = count()
         if now == seen:
             break
         seen = now
@@ -309,7 +311,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     bands = bands_for(num, den)
     sk = cut(sketches(docs, width, bands * ROWS))
     nodes = cut(
-        sk.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sk.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        sk.count(),
+        64 + 2 * bands * ROWS,
     )
     named = nodes.where("node is not null")
     groups = components(candidates(named.select("node", "n", "sketch"), bands, num, den))

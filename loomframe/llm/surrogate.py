@@ -252,19 +252,19 @@ def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
 
     # few bytes but much work a row: a stated number of partitions is not coalesced
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    known = cut(entities(docs).select("entity").repartition(tasks, "entity"))
+    known = entities(docs).select("entity").repartition(tasks, "entity")
     made = cut(known.select("entity", surrogate(F.col("entity"), F.lit(key)).alias("new")))
-    open_ = made.join(known.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
+    open_ = made.join(made.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
     out: dict[str, str] = {}
     for attempt in range(1, ATTEMPTS + 1):
         rows = open_.orderBy("entity").limit(EXCEPTIONS + 1).collect()
         if not rows or len(rows) > EXCEPTIONS:
             break
         trial = docs.sparkSession.createDataFrame([(r[0],) for r in rows], "entity string").select("entity", surrogate(F.col("entity"), F.lit(f"{key}#{attempt}")).alias("new"))
-        trial = cut(trial)
-        taken = known.select(F.col("entity").alias("new")).unionByName(made.select("new"))
-        bad = {r[0] for r in trial.join(taken, "new", "left_semi").select("entity").collect()}
-        for e, new in sorted((r["entity"], r["new"]) for r in trial.collect()):
+        pairs = sorted((r["entity"], r["new"]) for r in trial.collect())
+        taken = made.select(F.col("entity").alias("new")).unionByName(made.select("new"))
+        bad = {r[0] for r in docs.sparkSession.createDataFrame(pairs, "entity string, new string").join(taken, "new", "left_semi").select("entity").collect()}
+        for e, new in pairs:
             if e not in bad and new not in out.values():
                 out[e] = new
         left = [(r[0],) for r in rows if r[0] not in out]
