@@ -39,6 +39,8 @@ from .tokens import SPACE_TABLE, distinct_sets, pieces, text_bytes, windows, wor
 ROWS, MISS, SURE = 5, 1e-6, 12.5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BUCKET_BLOCK, GROUP_BLOCK = 1024, 128
+#: A node with more links than HUB and more than 1 / HUBS of all is a hub; there are fewer than HUBS.
+HUB, HUBS = 1_000, 1_000
 
 
 def bands_for(num: int, den: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -220,11 +222,22 @@ def candidates(nodes: DataFrame, bands: int, num: int, den: int, rows: int = ROW
     return ready.repartition("_g").sortWithinPartitions("_g").mapInArrow(run, f"a {kind}, b {kind}").where("a != b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, most: int, hub: int) -> DataFrame:
+    """The links u, v (at most `most`) with m from least (u, m, n links).
+
+    The minima of hubs, fewer than HUBS rows, are broadcast, so that their links stay where they are.
+    """
+    hubs = least.where(F.col("n") > max(hub, most // HUBS)).select("u", "m")
+    met = links.join(F.broadcast(hubs), "u", "left")
+    rest = met.where("m is null").select("u", "v").join(least.select("u", "m"), "u")
+    return met.where("m is not null").select("u", "v", "m").unionByName(rest)
+
+
+def components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """node, root: the smallest node of every component, for all nodes but the roots, from links a, b.
 
     Large-star and small-star steps alternate until no link changes.  Minima are
-    combined before the shuffle and joined back, so that a hub does not gather in one task.
+    combined before the shuffle and joined back, those of hubs by broadcast, so that a hub does not gather in one task.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     # no step makes more links than there were
@@ -232,10 +245,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     seen = count()
     for _ in range(most_rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
-        met = e.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        e = _with_least(both, least, 2 * seen[0], hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = _with_least(e, least, seen[0], hub)
         e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), seen[0])
         now = count()
         if now == seen:

@@ -74,6 +74,7 @@ def test_components_of_a_chain(spark):
     rng.shuffle(ids)
     edges = spark.createDataFrame(list(zip(ids, ids[1:])), "a long, b long")
     assert {r[1] for r in setsketch.components(edges).collect()} == {0}
+    assert {r[1] for r in setsketch.components(edges, hub=1).collect()} == {0}
 
 
 def test_sketches_merge_and_estimate():
