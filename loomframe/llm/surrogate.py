@@ -8,10 +8,14 @@ whether their Luhn check digit holds; addresses stay valid addresses; mail domai
 their last label and "example"; given names after a title move within a list of their gender.
 
 The collision check looks up all surrogates among all entities of the corpus:
-a surrogate that is itself somebody's entity is drawn again with the next key tweak,
-until none is left or they outnumber `EXCEPTIONS`, when the format is too full for it.
+a surrogate that is itself somebody's entity, or that two entities share, is drawn again with the next
+key tweak until none is left, by joins and whatever their number.  From the draw after `ATTEMPTS` on, given names
+leave their list (a list of 20 can be full), and from the one after `FORMAT_ATTEMPTS` on the format is given up for a
+keyed token of 32 hex digits, as a format of which entities take more than half has no room.
 
-Texts are never shuffled: lines are cut at their entities and put together again by array functions.
+The redrawn entities are put into the plan up to `EXCEPTIONS` of them and joined by text beyond.
+
+Texts are shuffled only to meet more than `BROADCAST` redrawn entities: lines are cut at their entities and put together again by array functions.
 Defined cases: a null text stays null; texts without an entity are returned unchanged, byte for
 byte; repeated rows and equal entities get equal surrogates; extra columns
 pass through; an empty table gives an empty result.
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 
 KEY = "loomframe-surrogates"
 EXCEPTIONS, ATTEMPTS, ROUNDS = 1_000, 4, 4
+#: Draws within the format, and the largest table of redrawn entities that is broadcast.
+FORMAT_ATTEMPTS, BROADCAST = 16, 100_000
 
 #: Alphabets within which a character moves.
 ALPHABETS = [
@@ -171,10 +177,10 @@ def _mail(e: Column, key: Column) -> Column:
     return F.concat(feistel(local, key, F.lit("mail")), F.lit("@"), _let(F.split(domain, r"\."), labels))
 
 
-def _name(e: Column, key: Column) -> Column:
+def _name(e: Column, key: Column, listed_names: bool = True) -> Column:
     def word(w: Column) -> Column:
         out = feistel(w, key, F.lit("name"))
-        for names in (MALE, FEMALE):
+        for names in (MALE, FEMALE) if listed_names else ():
             listed = F.array(*[F.lit(n) for n in names])
             at = F.array_position(listed, w)
             turn = F.conv(F.substr(F.sha2(F.concat_ws("|", key, F.lit("given")), 256), F.lit(1), F.lit(6)), 16, 10).cast("int") % (len(names) - 1) + 1
@@ -203,8 +209,8 @@ def kind_of(e: Column) -> Column:
     return out
 
 
-def surrogate(e: Column, key: Column) -> Column:
-    """The keyed replacement of one entity."""
+def surrogate(e: Column, key: Column, listed_names: bool = True) -> Column:
+    """The keyed replacement of one entity; given names stay in their list if `listed_names`."""
     kind = kind_of(e)
     prefixed = lambda n, tag: F.concat(F.substr(e, F.lit(1), F.lit(n)), feistel(F.substr(e, F.lit(n + 1), F.length(e)), key, F.lit(tag)))
     return (
@@ -215,7 +221,7 @@ def surrogate(e: Column, key: Column) -> Column:
         .when(kind == "number", _number(e, key))
         .when(kind == "phone", _phone(e, key))
         .when(kind == "hex", feistel(e, key, F.lit("hex"), HEX))
-        .when(kind == "name", _name(e, key))
+        .when(kind == "name", _name(e, key, listed_names))
         .otherwise(feistel(e, key, F.lit("secret")))
     )
 
@@ -243,10 +249,26 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
-    """Entities whose first surrogate is somebody's entity, with another one; at most EXCEPTIONS.
+def _clashes(drawn: DataFrame, taken: DataFrame) -> DataFrame:
+    """Entities of (entity, new) whose `new` is among taken(new), or drawn for a smaller entity too."""
+    both = drawn.select("new", "entity").unionByName(taken.select("new", F.lit(None).cast("string").alias("entity")))
+    per = both.groupBy("new").agg(F.max(F.col("entity").isNull()).alias("taken"), F.array_sort(F.collect_list("entity")).alias("owners"))
+    again = F.when(F.col("taken"), F.col("owners")).otherwise(F.filter("owners", lambda o, i: i > 0))
+    return per.where(F.col("taken") | (F.size("owners") > 1)).select(F.explode(again).alias("entity"))
+
+
+def _draw(e: Column, key: str, attempt: int) -> Column:
+    """The surrogate of the given further attempt."""
+    tweak = F.lit(f"{key}#{attempt}")
+    if attempt > FORMAT_ATTEMPTS:
+        return F.substr(F.sha2(F.concat_ws("|", tweak, e), 256), F.lit(1), F.lit(32))
+    return surrogate(e, tweak, attempt <= ATTEMPTS)
+
+
+def redrawn(docs: DataFrame, key: str = KEY) -> DataFrame:
+    """entity, new: all entities whose first surrogate is taken, with one that nobody has.
 
-    The entity table is reduced before any join; only exceptions reach the driver.
+    The entity table is reduced before any join; every round draws for all entities still open.
     """
     from .common import cut
 
@@ -254,29 +276,33 @@ def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = entities(docs).select("entity").repartition(tasks, "entity")
     made = cut(known.select("entity", surrogate(F.col("entity"), F.lit(key)).alias("new")))
-    open_ = made.join(made.select(F.col("entity").alias("new")), "new", "left_semi").select("entity")
-    out: dict[str, str] = {}
-    for attempt in range(1, ATTEMPTS + 1):
-        rows = open_.orderBy("entity").limit(EXCEPTIONS + 1).collect()
-        if not rows or len(rows) > EXCEPTIONS:
-            break
-        trial = docs.sparkSession.createDataFrame([(r[0],) for r in rows], "entity string").select("entity", surrogate(F.col("entity"), F.lit(f"{key}#{attempt}")).alias("new"))
-        pairs = sorted((r["entity"], r["new"]) for r in trial.collect())
-        taken = made.select(F.col("entity").alias("new")).unionByName(made.select("new"))
-        bad = {r[0] for r in docs.sparkSession.createDataFrame(pairs, "entity string, new string").join(taken, "new", "left_semi").select("entity").collect()}
-        for e, new in pairs:
-            if e not in bad and new not in out.values():
-                out[e] = new
-        left = [(r[0],) for r in rows if r[0] not in out]
-        if not left:
-            break
-        open_ = docs.sparkSession.createDataFrame(left, "entity string")
+    taken = made.select(F.col("entity").alias("new")).unionByName(made.select("new"))
+    out = docs.sparkSession.createDataFrame([], "entity string, new string")
+    open_ = cut(_clashes(made, made.select(F.col("entity").alias("new"))))
+    n, attempt = open_.count(), 0
+    while n:
+        attempt += 1
+        spread = open_.repartition(tasks, "entity") if n > EXCEPTIONS else open_.coalesce(1)
+        trial = cut(spread.select("entity", _draw(F.col("entity"), key, attempt).alias("new")))
+        open_ = cut(_clashes(trial, taken.unionByName(out.select("new"))))
+        left = open_.count()
+        if left < n:
+            out = cut(out.unionByName(trial.join(open_, "entity", "left_anti")), n)
+        n = left
     return out
 
 
-def _lines(text: Column, key: str, other: dict[str, str] | None) -> Column:
+def exceptions(docs: DataFrame, key: str = KEY) -> dict[str, str]:
+    """`redrawn` as a dict, for tables that are known to be small."""
+    return {r["entity"]: r["new"] for r in redrawn(docs, key).collect()}
+
+
+def _lines(text: Column, key: str, other: dict[str, str] | Column | None) -> Column:
     """Array of (out, n): each line with its entities replaced, and their number."""
-    table = F.create_map(*[F.lit(x) for pair in sorted((other or {}).items()) for x in pair]) if other else None
+    if isinstance(other, Column):
+        table = other
+    else:
+        table = F.create_map(*[F.lit(x) for pair in sorted((other or {}).items()) for x in pair]) if other else None
 
     def one(e: Column) -> Column:
         new = surrogate(e, F.lit(key))
@@ -290,21 +316,37 @@ def _lines(text: Column, key: str, other: dict[str, str] | None) -> Column:
     return F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(HINT), _let(_pieces(x), put_back)).otherwise(plain(x)))
 
 
-def replaced(text: Column, key: str = KEY, other: dict[str, str] | None = None) -> Column:
-    """(out, n): the text with every entity replaced in place, and their number."""
+def replaced(text: Column, key: str = KEY, other: dict[str, str] | Column | None = None) -> Column:
+    """(out, n): the text with every entity replaced in place, and their number; `other` maps redrawn entities."""
     whole = _let(_lines(text, key, other), lambda z: F.struct(F.array_join(z["out"], "\n").alias("out"), F.aggregate(z["n"], F.lit(0), lambda s, n: s + n).alias("n")))
     return F.when(text.rlike(HINT), whole).otherwise(F.struct(text.alias("out"), F.lit(0).alias("n")))
 
 
+def _replaced_rows(docs: DataFrame, key: str) -> tuple[DataFrame, list[str], Column]:
+    """All rows, their columns under free names (text as text), and `replaced` of their text."""
+    names = ["text" if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    free = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, names)])
+    table = redrawn(docs, key)
+    n = table.count()
+    if n <= EXCEPTIONS:
+        return free, names, replaced(F.col("text"), key, {r["entity"]: r["new"] for r in table.collect()})
+    # the map of a text depends on the text alone, so rows need no key of their own
+    digest_of = F.sha2(F.col("text"), 256)
+    found = free.where(F.col("text").rlike(HINT)).select(digest_of.alias("_h"), F.explode(F.array_distinct(_found(F.col("text")))).alias("entity"))
+    met = found.join(F.broadcast(table) if n <= BROADCAST else table, "entity").distinct()
+    maps = met.groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "new"))).alias("_other"))
+    rows = free.withColumn("_h", digest_of).join(maps, "_h", "left")
+    return rows, names, replaced(F.col("text"), key, F.col("_other"))
+
+
 def anonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """The documents (all columns) with surrogates in their texts."""
-    other = exceptions(docs, key)
-    new = replaced(F.col("text"), key, other)["out"]
-    return docs.select(*[new.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    rows, names, new = _replaced_rows(docs, key)
+    return rows.select(*[(new["out"] if k == "text" else F.col(k)).alias(c) for c, k in zip(docs.columns, names)])
 
 
 def digest(docs: DataFrame, key: str = KEY) -> DataFrame:
     """doc_id, text, n_entities of every document."""
-    other = exceptions(docs, key)
-    made = docs.select("doc_id", replaced(F.col("text"), key, other).alias("z"))
+    rows, names, new = _replaced_rows(docs.select("doc_id", "text"), key)
+    made = rows.select(F.col(names[0]).alias("doc_id"), new.alias("z"))
     return made.select("doc_id", F.col("z.out").alias("text"), F.col("z.n").cast("long").alias("n_entities"))

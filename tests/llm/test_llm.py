@@ -347,6 +347,21 @@ def test_surrogate_collisions_are_drawn_again(spark):
     assert surrogate.digest(marked).first()["text"].count("\x01") == 2 and surrogate.digest(marked.limit(0)).count() == 0
 
 
+def test_all_collisions_are_drawn_again_whatever_their_number(spark, monkeypatch):
+    monkeypatch.setattr(surrogate, "EXCEPTIONS", 5)
+    monkeypatch.setattr(surrogate, "ATTEMPTS", 1)
+    mails = [f"user{i}@mail.example.com" for i in range(15)]
+    first = [r[0] for r in spark.createDataFrame([(m,) for m in mails], "e string").select(surrogate.surrogate(F.col("e"), F.lit(surrogate.KEY))).collect()]
+    girls = [f"Mrs. {n}" for n in surrogate.FEMALE]  # a full list: no name in it is free
+    texts = [f"{m} and {m}" for m in mails] + first + girls + [mails[0] + " and " + mails[0], None, "plain"]
+    df = docs_of(spark, texts).withColumn("_h", F.lit(1)).withColumn("doc_id", F.lit(None).cast("long"))
+    joined = sorted((r["text"] or "", r["_h"]) for r in surrogate.anonymised(df).collect())
+    assert len(joined) == len(texts)
+    new = [e for t, _ in joined for e in re.findall(r"\S+@\S+|(?<=Mrs\. )\w+", t)]
+    assert not set(new) & {*mails, *first, *surrogate.FEMALE}
+    assert len(set(new)) == len(mails) + len(first) + len(girls) and "plain" in {t for t, _ in joined}
+
+
 # ---- 7
 
 
