@@ -41,15 +41,17 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
-HEX = ["0123456789abcdef"]
+HEX, UPPER_HEX, MIXED_HEX = ["0123456789abcdef"], ["0123456789ABCDEF"], ["0123456789", "abcdef", "ABCDEF"]
 #: Given names by gender; a name moves within its list.
 MALE = ["Adam", "Bernd", "Carlos", "David", "Emil", "François", "George", "Hans", "Ivan", "James", "Juan", "Karl", "Louis", "Michael", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William"]
 FEMALE = ["Alice", "Anna", "Camille", "Carmen", "Claire", "Elena", "Emma", "Greta", "Helga", "Isabel", "Jane", "Julia", "Laura", "Lucía", "Maria", "Marie", "Mary", "Sarah", "Sophie", "Susan"]
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = r"(?:Mr\.?|Mrs\.?|Ms\.?|Miss|Dr\.?|Herrn?|Frau|Señora?|Sra?\.|Monsieur|Madame|Mme)"
-_SECRET_WORD = r"(?:[Pp]assword|[Pp]asswd|[Pp]wd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)"
-_SECRET = rf"{_SECRET_WORD}[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
+#: Any case, with suffixes as in secret_access_key, secretKey and PASSWORD2, and as a quoted key.
+_SECRET_WORD = r"(?i:password|passwd|pwd|secret|token|api[_\-]?key)(?i:access)?(?i:key|value|id)?\d{0,3}(?:[_\-][A-Za-z0-9_\-]{1,40})?"
+_SECRET = rf"{_SECRET_WORD}[\"']?[ \t]{{0,3}}[=:][ \t]{{0,3}}[\"']?"
+_WORD = r"(?:\p{Lu}\p{Ll}+|\p{Lu}['’]\p{Lu}\p{Ll}+)(?:['’\-]?\p{Lu}\p{Ll}+)*"
 #: (kind, pattern); the first that fits at a position wins.
 PATTERNS = [
     ("mail", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"),
@@ -58,11 +60,11 @@ PATTERNS = [
     ("key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("address", rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
-    ("phone", r"(?<!\d)(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<![\d\-])\d{3}-\d{4}(?![\d\-])"),
+    ("phone", r"(?<!\d)(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}(?!\d)|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,5}(?!\d)|(?<!\d)(?:(?<!\d[.\-])|(?<=\b1[.\-]))\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?!\d|[.\-]\d)|(?<!\d)\d{3} \d{3} \d{4}(?!\d)|(?<![\d\-])\d{3}-\d{4}(?![\d\-])"),
     ("social", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("number", r"(?<!\d)\d{4}(?:[ \-]\d{4}){3}(?!\d)|(?<!\d)\d{9,19}(?!\d)"),
-    ("hex", r"(?<![0-9A-Za-z])(?=[0-9a-f]{32})(?=[a-f]*\d)[0-9a-f]{32,}(?![0-9A-Za-z])"),
-    ("name", rf"(?<= )(?=\p{{Lu}}\p{{Ll}})(?<=\b{_TITLE} )\p{{Lu}}\p{{Ll}}+(?:[ ]\p{{Lu}}\p{{Ll}}+)?"),
+    ("hex", r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]{32})(?=[A-Fa-f]*\d)[0-9A-Fa-f]{32,}(?![0-9A-Za-z])"),
+    ("name", rf"(?<= )(?=\p{{Lu}}[\p{{Ll}}'’])(?<=\b{_TITLE} ){_WORD}(?:[ ]{_WORD})?"),
 ]
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What a line with an entity holds; entities do not cross line feeds.
@@ -199,9 +201,11 @@ def kind_of(e: Column) -> Column:
         ("address", rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"),
         ("number", r"^\d{4}(?:[ \-]\d{4}){3}$|^\d{9,19}$"),
         ("social", r"^\d{3}-\d{2}-\d{4}$"),
-        ("phone", r"^[+(]|^\d{3}-\d{4}$"),
+        ("phone", r"^[+(]|^\d{3}-\d{4}$|^\d{3}[ .\-]\d{3}[ .\-]\d{4}$"),
         ("hex", r"^[0-9a-f]*\d[0-9a-f]*$"),
-        ("name", r"^\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?$"),
+        ("upper hex", r"^[0-9A-F]*\d[0-9A-F]*$"),
+        ("mixed hex", r"^(?=.{32})[0-9A-Fa-f]*\d[0-9A-Fa-f]*$"),
+        ("name", rf"^{_WORD}(?: {_WORD})?$"),
     ]
     out = F.lit("secret")
     for kind, p in reversed(full):
@@ -221,6 +225,8 @@ def surrogate(e: Column, key: Column, listed_names: bool = True) -> Column:
         .when(kind == "number", _number(e, key))
         .when(kind == "phone", _phone(e, key))
         .when(kind == "hex", feistel(e, key, F.lit("hex"), HEX))
+        .when(kind == "upper hex", feistel(e, key, F.lit("hex"), UPPER_HEX))
+        .when(kind == "mixed hex", feistel(e, key, F.lit("hex"), MIXED_HEX))
         .when(kind == "name", _name(e, key, listed_names))
         .otherwise(feistel(e, key, F.lit("secret")))
     )

@@ -347,6 +347,22 @@ def test_surrogate_collisions_are_drawn_again(spark):
     assert surrogate.digest(marked).first()["text"].count("\x01") == 2 and surrogate.digest(marked.limit(0)).count() == 0
 
 
+def test_spellings_of_entities_are_found(spark):
+    secret = "Zk93hQw7Lp2x"
+    lines = [f"{w}{sep}{secret}" for w in ("password", "Api_Key", "secret_access_key", "PASSWORD", "accessToken", "clientSecretKey", "DB_PASSWORD_2") for sep in ("=", ": ", ' = "')] + [f'{{"password": "{secret}"}}']
+    found = [("call 555-123-4567 now", "555-123-4567"), ("call 555.123.4567.", "555.123.4567"), ("1-555-123-4567", "555-123-4567"), ("at 555 123 4567, or", "555 123 4567"), ("with Mr. O'Brien here", "O'Brien"), ("Dr. Zelda O’Neill-McDonald's", "Zelda O’Neill-McDonald")]
+    for h in ("9233a8ec" * 5, ("9233a8ec" * 5).upper(), "9233A8ec" * 5):
+        found += [(f"see {h} x", h), (f'TOKEN = "{h}"', h)]
+    found += [(x, secret) for x in lines] + [(x.upper(), secret.upper()) for x in lines]
+    clean = ["version 1.555.123.4567.8", "id 12-555-123-4567-89", "tokenizer: wordpiece_model", "the secretary: Margaret_Miller"]
+    got = [r["text"] for r in surrogate.digest(docs_of(spark, [x for x, _ in found] + clean)).orderBy("doc_id").collect()]
+    for (line, e), out in zip(found, got):
+        assert e not in out and len(out) == len(line) and re.sub(r"\w", "", out) == re.sub(r"\w", "", line), (line, out)
+        at = line.index(e)
+        assert out[:at] + out[at + len(e) :] == line[:at] + line[at + len(e) :], (line, out)
+    assert got[len(found) :] == clean
+
+
 def test_all_collisions_are_drawn_again_whatever_their_number(spark, monkeypatch):
     monkeypatch.setattr(surrogate, "EXCEPTIONS", 5)
     monkeypatch.setattr(surrogate, "ATTEMPTS", 1)
