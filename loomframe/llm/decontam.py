@@ -10,15 +10,15 @@ words has no window; an item with a null id marks words but is not counted; repe
 items count once; extra columns are ignored; an empty benchmark hits nothing.
 
 The items are broadcast only in shards of at most `shard_bytes` of pattern text, a
-bound that is checked; a larger benchmark is scanned shard by shard and the
-hits are merged per document, so the result does not depend on the number of shards.
+bound that is checked; for a larger benchmark each task puts its rows into a temporary file, scans
+them by one shard after another and merges the hits row by row, so neither the result nor its rows depend on the number of shards.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
 from collections.abc import Iterator
-from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -76,30 +76,33 @@ def _code_points(text: str, words: set[int]) -> dict[int, tuple[int, int]]:
     return out
 
 
-def scan(text: str | None, machine, ready: bool, spans: bool = True):
-    """(words, hit word positions, spans of the original, item ids, whether any window occurs)."""
+def hits(text: str | None, machine, ready: bool) -> tuple[int, np.ndarray, set[str | None]]:
+    """(words, hit word positions, item ids)."""
     w = normalised(text)
+    nothing = np.zeros(0, np.int32)
     if not w or not ready:
-        return len(w), [], [], [], False
+        return len(w), nothing, set()
     line = b" " + b" ".join(w) + b" "
     line = line.decode("utf-8", "surrogatepass")
     found = list(machine.iter(line))
     if not found:
-        return len(w), [], [], [], False
+        return len(w), nothing, set()
     # the k-th space ends word k - 1; a match ends on a space
     spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) == 0x20)
     last = np.searchsorted(spaces, [end for end, _ in found]) - 1
     cover = np.zeros(len(w) + 1, np.int64)
     np.add.at(cover, last + 1, -1)
     np.add.at(cover, last + 1 - np.array([v[0] for _, v in found]), 1)
-    hits = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
-    ids = {i for _, v in found for i in v[1]}
-    where = []
-    if spans:
-        runs = np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1)
-        points = _code_points(text, {int(k) for r in runs for k in (r[0], r[-1])})
-        where = [(points[int(r[0])][0], points[int(r[-1])][1]) for r in runs]
-    return len(w), hits.tolist(), where, sorted(i for i in ids if i is not None), True
+    return len(w), np.flatnonzero(np.cumsum(cover[:-1]) > 0).astype(np.int32), {i for _, v in found for i in v[1]}
+
+
+def spans_of(text: str | None, at: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of the original that the runs of hit words cover."""
+    if not len(at):
+        return []
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    points = _code_points(text, {int(k) for r in runs for k in (r[0], r[-1])})
+    return [(points[int(r[0])][0], points[int(r[-1])][1]) for r in runs]
 
 
 def _shards(benchmark: DataFrame, shard_bytes: int) -> list[DataFrame]:
@@ -112,43 +115,65 @@ def _shards(benchmark: DataFrame, shard_bytes: int) -> list[DataFrame]:
 def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], width: int = WIDTH, spans: bool = True, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The columns `keep` of every document, with n_words, hit_words, spans, items and any_item.
 
-    `keep` must identify rows if the benchmark needs more than one shard; a single
-    shard is a narrow pass over the documents without any shuffle.
+    A narrow pass over the documents without any shuffle, whatever the number of shards: a row in is a row out.
     """
     sc = docs.sparkSession.sparkContext
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*keep, *(["text"] if "text" not in keep else [])).dtypes])
     cols = [*keep, *(["text"] if "text" not in keep else [])]
-
-    def one(shard: DataFrame) -> DataFrame:
-        items = sc.broadcast([(r["item"], r["t"]) for r in shard.collect()])  # at most shard_bytes of patterns
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            machine, ready = _automaton(items.value, width)
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.select(*cols).dtypes])
+    # at most shard_bytes of patterns each
+    shards = [sc.broadcast([(r["item"], r["t"]) for r in s.collect()]) for s in _shards(benchmark, shard_bytes)]
+
+    def made(batch: pa.RecordBatch, got: list[tuple[int, np.ndarray, set]]) -> pa.RecordBatch:
+        texts = batch.column("text").to_pylist() if spans else []
+        where = [spans_of(t, g[1]) for t, g in zip(texts, got)] if spans else [[] for _ in got]
+        new = [
+            pa.array([g[0] for g in got], pa.int64()),
+            pa.array([g[1] for g in got], pa.list_(pa.int32())),
+            pa.array([[{"start": s, "end": e} for s, e in w] for w in where], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+            pa.array([sorted(i for i in g[2] if i is not None) for g in got], pa.list_(pa.string())),
+            pa.array([len(g[1]) > 0 for g in got], pa.bool_()),
+        ]
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + new, names=[*cols, "n_words", "hit_words", "spans", "items", "any_item"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if len(shards) == 1:
+            machine, ready = _automaton(shards[0].value, width)
             for batch in batches:
-                got = [scan(t, machine, ready, spans) for t in batch.column("text").to_pylist()]
-                made = [
-                    pa.array([g[0] for g in got], pa.int64()),
-                    pa.array([g[1] for g in got], pa.list_(pa.int32())),
-                    pa.array([[{"start": s, "end": e} for s, e in g[2]] for g in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([g[3] for g in got], pa.list_(pa.string())),
-                    pa.array([g[4] for g in got], pa.bool_()),
-                ]
-                names = ["n_words", "hit_words", "spans", "items", "any_item"]
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in cols] + made, names=[*cols, *names])
-
-        return docs.select(*cols).mapInArrow(run, f"{schema}, {_SPANS}")
-
-    parts = [one(s) for s in _shards(benchmark, shard_bytes)]
-    if len(parts) == 1:
-        return parts[0].select(*keep, "n_words", "hit_words", "spans", "items", "any_item")
-    merged = reduce(DataFrame.unionByName, [p.select(*keep, "n_words", "hit_words", "spans", "items", "any_item") for p in parts])
-    return merged.groupBy(*keep).agg(
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        F.max("any_item").alias("any_item"),
-    )
+                yield made(batch, [hits(t, machine, ready) for t in batch.column("text").to_pylist()])
+            return
+        with tempfile.TemporaryFile() as file:
+            writer = None
+            for batch in batches:
+                writer = writer or pa.ipc.new_stream(file, batch.schema)
+                writer.write_batch(batch)
+            if writer is None:
+                return
+            writer.close()
+
+            def again() -> Iterator[pa.RecordBatch]:
+                file.seek(0)
+                yield from pa.ipc.open_stream(file)
+
+            merged: list[tuple[int, np.ndarray, set]] = []
+            for k, shard in enumerate(shards):
+                machine, ready = _automaton(shard.value, width)
+                row = 0
+                for batch in again():
+                    for t in batch.column("text").to_pylist():
+                        g = hits(t, machine, ready)
+                        if k == 0:
+                            merged.append(g)
+                        elif len(g[1]):
+                            n, at, ids = merged[row]
+                            merged[row] = n, np.union1d(at, g[1]), ids | g[2]
+                        row += 1
+                del machine  # one automaton at a time
+            row = 0
+            for batch in again():
+                yield made(batch, merged[row : row + batch.num_rows])
+                row += batch.num_rows
+
+    return docs.select(*cols).mapInArrow(run, f"{schema}, {_SPANS}").select(*keep, "n_words", "hit_words", "spans", "items", "any_item")
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:

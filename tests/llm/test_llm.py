@@ -245,6 +245,21 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.find(docs, bench.limit(0), ["doc_id"]).where("any_item").isEmpty() and decontam.clean(clash, bench).columns == clash.columns and decontam.clean(clash, bench).count() == sum(not w[4] for w in want.values())
 
 
+def test_shards_keep_every_row(spark, monkeypatch):
+    rng = random.Random(8)
+    items = [(i, " ".join(words(rng, 14, 30))) for i in range(8)]
+    clean = " ".join(f"c{k}" for k in range(30))
+    texts = [f"a {items[0][1]} {items[1][1]} b {items[5][1]}", f"x {items[2][1]}", clean, clean, None, None, ""]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(None if i < 5 else 7, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sort = lambda df: sorted(map(str, df.collect()))
+    whole, spans, kept = (sort(x) for x in (decontam.digest(docs, bench), decontam.find(docs, bench, ["doc_id"]), decontam.clean(docs, bench)))
+    monkeypatch.setattr(decontam, "_shards", lambda b, _, of=decontam._shards: of(b, 2000))
+    assert len(decontam._shards(bench, 0)) > 2
+    assert (sort(decontam.digest(docs, bench)), sort(decontam.find(docs, bench, ["doc_id"])), sort(decontam.clean(docs, bench))) == (whole, spans, kept)
+    assert len(whole) == len(texts) and len(kept) == len(texts) - 2
+
+
 def test_spans_point_into_the_original(spark):
     text = "Ünü — Alpha, BETA\ngamma; delta ünü"
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
