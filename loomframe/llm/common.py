@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,11 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Only a session without that setting (as in tests) gets a folder of its own.
+    Only a session within one process (as in tests) may leave it unset and gets a folder of its own.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomframe-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomframe-"))
     return sc.getCheckpointDir()
 
 
@@ -54,3 +58,22 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def hash_below(share: Column, *of: Column) -> Column:
+    """True for about `share` of the values of `of`, always the same ones; for all if it is 1 or more."""
+    return F.pmod(F.xxhash64(F.lit("sample"), *of), F.lit(1 << 52)) < share * float(1 << 52)
+
+
+def free_names(df: DataFrame, *plain: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns renamed _c0, _c1, ..., but for the columns `plain`, and the new names in order.
+
+    Operators add columns of their own to the renamed table, so that no name of the input can clash with them.
+    """
+    names = [c if c in plain else f"_c{i}" for i, c in enumerate(df.columns)]
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)]), names
+
+
+def own_names(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """Undoes `free_names`."""
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])

@@ -3,12 +3,12 @@
 Boosted trees over the statistics of labelled documents give paths; every path is a
 conjunctive rule; a lasso logistic regression keeps few of them; the kept rules
 are compiled into one Spark column expression over the statistics.  Statistics cover
-whole texts of all documents; only the fit looks at a bounded sample of labelled
-rows, the `SAMPLE` rows of least id hash.
+whole texts; only the fit looks at a bounded sample of labelled
+texts, about `SAMPLE` of them by a hash threshold from their number, so statistics for the fit are computed for those alone.
 
 Defined cases: a null text counts as empty and is scored from its (zero) statistics;
-labels that are null, or of documents that do not exist, are ignored; several labels of one
-document all count; without labels every score is 0.5, with one class the prior;
+labels that are null, or of documents that do not exist, are ignored; different labels of one
+document all count, repeated rows once; without labels every score is 0.5, with one class the prior;
 a null id is never held out and never learned from; equal texts get equal scores; extra columns of
 documents pass through `accepted` untouched.
 """
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out
+from .common import cut, free_names, hash_below, held_out, own_names
 from .tokens import SPACE_TABLE, distinct_sets, pieces, text_bytes, windows, words
 
 SAMPLE = 20_000
@@ -225,26 +225,37 @@ def compiled(model: tuple[float, list[tuple[dict, float]]], stats: str = "_stats
     return 1 / (1 + F.exp(-total))
 
 
-def learn(stats: DataFrame, labels: DataFrame, hold: tuple[int, int] | None, sample: int = SAMPLE):
-    """Fit from stats(doc_id, _stats) and labels(doc_id, quality), on `sample` rows at most."""
+def learn(docs: DataFrame, labels: DataFrame, hold: tuple[int, int] | None, sample: int = SAMPLE):
+    """Fit from documents and labels(doc_id, quality), on about `sample` labelled texts at most.
+
+    Ids, hashes and labels are met first; texts are only read for those that the sample takes, and the
+    driver gets their statistics.
+    """
     lab = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("double").alias("y"))
     if hold:
         lab = lab.where(~held_out(F.col("doc_id"), *hold))
-    rows = stats.join(lab, "doc_id").select("y", "_stats.*", F.xxhash64("doc_id").alias("_h"), "doc_id").orderBy("_h", "doc_id", "y", "n_words").limit(sample).toPandas()
-    return fit(rows[STATS].to_numpy(float), rows["y"].to_numpy(float))
+    of = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))
+    keys = cut(of.select("doc_id", "h").join(lab.groupBy("doc_id", "y").agg(F.lit(1)).select("doc_id", "y"), "doc_id").groupBy("doc_id", "h", "y").agg(F.lit(1)).select("doc_id", "h", "y"))
+    n = keys.count()
+    chosen = keys.where(hash_below(F.lit(sample / n), F.col("doc_id"), F.col("h"), F.col("y"))) if n > sample else keys
+    # about `sample` rows of three numbers: small by construction
+    met = of.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h", "y"])
+    got = with_statistics(met.select("doc_id", "y", "text"), ["doc_id", "y"]).select("doc_id", "y", "_stats.*").toArrow()
+    got = got.sort_by([(c, "ascending") for c in ("doc_id", "y", *STATS)])
+    return fit(np.column_stack([got.column(c).to_numpy() for c in STATS]), got.column("y").to_numpy())
 
 
 HOLD, ACCEPT = (5, 0), 0.3
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    stats = cut(with_statistics(docs.select("doc_id", "text"), ["doc_id"]))
-    score = compiled(learn(stats, labels, HOLD))
-    out = stats.select("doc_id", held_out(F.col("doc_id"), *HOLD).alias("held_out"), score.alias("score"))
+    score = compiled(learn(docs, labels, HOLD))
+    out = with_statistics(docs.select("doc_id", "text"), ["doc_id"]).select("doc_id", held_out(F.col("doc_id"), *HOLD).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents (all columns) that score at least ACCEPT."""
-    model = learn(with_statistics(docs.select("doc_id", "text"), ["doc_id"]), labels, HOLD)
-    return with_statistics(docs, docs.columns).where(compiled(model) >= ACCEPT).select(*docs.columns)
+    """The documents (all columns, of whatever names) that score at least ACCEPT."""
+    model = learn(docs, labels, HOLD)
+    free, names = free_names(docs, "text")
+    return own_names(with_statistics(free, names).where(compiled(model) >= ACCEPT), names, docs.columns)
