@@ -7,8 +7,8 @@ probability of each language, so code-switched text is labelled word by word; a
 document's language is the one with the largest mean marginal.
 
 The field is fitted on sequences that splice spans of different sample documents, so
-that transitions learn to switch.  The sample is bounded: at most `DOCS` labelled
-documents of at most `DOC_BYTES` bytes each, of least id hash.  Prediction covers
+that transitions learn to switch.  The sample is bounded: about `DOCS` labelled
+documents at most, in equal shares of the languages, of at most `DOC_BYTES` bytes each.  Prediction covers
 every word of every text.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0; without labelled
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import hash_below, held_out
 from .tokens import SPACE_TABLE, mix64, pieces, text_bytes, words
 
 DOCS, DOC_BYTES = 2_000, 16_384
@@ -161,6 +161,51 @@ def marginals(emission: np.ndarray, off: np.ndarray, trans: np.ndarray, span: in
     return out / out.sum(1, keepdims=True)
 
 
+def posteriors(emission: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word posteriors [chain, word, label] and the expected counts [chain, label, next label] of neighbouring labels.
+
+    Forward and backward messages of chains of one length; a pair's posterior is the forward message before it,
+    the transition, the emission after it and the backward message beyond, normalised.
+    """
+    chains, length, L = emission.shape
+    e = np.exp(emission - emission.max(2, keepdims=True)).astype(np.float64)
+    t = np.exp(trans - trans.max()).astype(np.float64)
+    ahead, back = np.empty((length, chains, L)), np.ones((length, chains, L))
+    for i in range(length):
+        a = e[:, i] * (ahead[i - 1] @ t if i else t.sum(0))
+        ahead[i] = a / a.sum(1, keepdims=True)
+    pairs = np.zeros((chains, L, L))
+    for i in range(length - 2, -1, -1):
+        beyond = e[:, i + 1] * back[i + 1]
+        both = ahead[i][:, :, None] * t * beyond[:, None, :]
+        pairs += both / both.sum((1, 2), keepdims=True)
+        b = beyond @ t.T
+        back[i] = b / b.max(1, keepdims=True)
+    p = (ahead * back).transpose(1, 0, 2)
+    return p / p.sum(2, keepdims=True), pairs
+
+
+def transition_gradient(first: np.ndarray, pairs: np.ndarray, labels: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Of the negative log likelihood: expected less given counts, the step into each first word included."""
+    out = pairs.sum(0)
+    np.add.at(out, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), -1)
+    enter = np.exp(trans) / np.exp(trans).sum(0)
+    return out + enter * (first.sum(0) - np.bincount(labels[:, 0], minlength=len(trans)))
+
+
+def log_likelihood(emission: np.ndarray, trans: np.ndarray, labels: np.ndarray) -> float:
+    """Of the labels [chain, word], each first label reached from an even one, up to a constant (for tests)."""
+    total, (chains, length, L) = 0.0, emission.shape
+    for c in range(chains):
+        a = emission[c, 0] + np.log(np.exp(trans).sum(0))
+        gold = a[labels[c, 0]]
+        for i in range(1, length):
+            gold += trans[labels[c, i - 1], labels[c, i]] + emission[c, i, labels[c, i]]
+            a = emission[c, i] + np.log(np.exp(a - a.max()) @ np.exp(trans)) + a.max()
+        total += gold - a.max() - np.log(np.exp(a - a.max()).sum())
+    return total
+
+
 def spliced(of: np.ndarray, per: np.ndarray, label: np.ndarray, sequences: int, length: int, seed: int = 11):
     """Word types and labels [sequence, word] that switch documents every 4 to 40 words."""
     rng = np.random.default_rng(seed)
@@ -197,23 +242,17 @@ def fit(texts: list[str], langs: list[str], rounds: int = 30, sequences: int = 3
     scale = 1 / np.sqrt(np.bincount(own, minlength=n))[own]
     w, t = np.zeros((1 << bits, L), np.float32), np.zeros((L, L))
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
-    chains = np.arange(0, types.size + 1, LENGTH)
     gold = np.zeros((types.size, L))
     gold[np.arange(types.size), labels.ravel()] = 1
-    gold_t = np.zeros((L, L))
-    np.add.at(gold_t, (labels[:, :-1].ravel(), labels[:, 1:].ravel()), 1)
     for k in range(1, rounds + 1):
         e = emissions(w, slot, own, n)[types.ravel()]
-        p = marginals(e, chains, t)
+        p, pairs = posteriors(e.reshape(*types.shape, L), t)
+        p = p.reshape(-1, L)
         g = np.zeros((n, L))
         for v in range(L):
             g[:, v] = np.bincount(types.ravel(), p[:, v] - gold[:, v], n)
         gw = np.stack([np.bincount(slot, g[own, v] * scale, 1 << bits) for v in range(L)], axis=1) / len(types) + 1e-4 * w
-        # neighbouring pairs: the product of marginals, tilted by the transition, stands for the pair's posterior
-        q = p.reshape(*types.shape, L)
-        pair = np.einsum("sti,stj->stij", q[:, :-1], q[:, 1:]) * np.exp(t)
-        pair /= pair.sum((2, 3), keepdims=True)
-        gt = (pair.sum((0, 1)) - gold_t) / len(types) + 1e-3 * t
+        gt = transition_gradient(p.reshape(*types.shape, L)[:, 0], pairs, labels, t) / len(types) + 1e-3 * t
         for x, m, v, d, rate in ((w, mw, vw, gw, 0.3), (t, mt, vt, gt, 0.1)):
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
@@ -267,11 +306,20 @@ def predict(model: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
 
 
 def learn(docs: DataFrame, hold: tuple[int, int] | None = HOLD, sample: int = DOCS, doc_bytes: int = DOC_BYTES) -> dict | None:
+    """The field of about `sample` documents at most, as many of each language as there are.
+
+    Rows are counted first; a hash threshold per language then says which texts the driver gets.
+    """
     known = docs.where("lang is not null and text is not null").where(F.octet_length("text") <= doc_bytes)
     if hold:
         known = known.where(~held_out(F.col("doc_id"), *hold))
-    rows = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("lang").cast("string").alias("lang"), "text").orderBy("h", "doc_id", "lang", "text").limit(sample).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    known = known.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    if not counts:
+        return None
+    shares = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, sample / len(counts) / n)])
+    rows = known.where(hash_below(shares[F.col("lang")], F.col("doc_id"), F.col("text"))).distinct().toArrow().sort_by([("lang", "ascending"), ("text", "ascending")])
+    return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
