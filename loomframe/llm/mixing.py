@@ -1,20 +1,20 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every pass over a document gets a virtual finish time: the source's tokens up to and
-including it, in a shuffled but fixed order, over the source's target.  All passes of
-all sources are range-sorted by that time and taken until the budget is spent.
-A source may be read up to `most` times; what its target would need beyond that is
-reshared among the others by weight.
+including it, in a shuffled but fixed order, over the source's target.  A source may be read up to `most`
+times; what its target would need beyond that is reshared among the others by weight, so targets
+add up to the budget and the budget is spent at virtual time 1: passes that end by then are taken, and
+of the one pass of each source that runs across it what comes nearer to the target.  `mixed`
+delivers the passes range-sorted by virtual time over the whole corpus, truncated there.
 
-No window runs over a whole source: a source's order is cut into slices by the leading
-bits of the order key, slices are summed first, and each row only sees its own slice,
-so that a source with most of all rows spreads over as many tasks as it has slices.
-The same holds for virtual time.
+No window runs over a whole source: equal rows are counted first, a source's order is cut into slices by the leading
+bits of the order key, and slices are summed level by level, 2**LEVEL of them at a time, so a source with most
+of all rows spreads over as many tasks as it has slices and no window holds more than a slice or a level.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of
-its own and sorts last; without any word all targets are 0; equal rows take the
-same order key and are parted by row number within their slice; an empty table gives an
-empty result.
+its own and sorts last; without any word all targets are 0; rows that agree in id, source and text are exchangeable and
+take their passes by number; a source whose only document is larger than its target takes it if
+that is nearer than nothing; an empty table gives an empty result; extra columns of any name pass through `mixed`.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, free_names
 from .tokens import SPACE_TABLE, pieces, text_bytes, words
 
 MOST = 3
-SLICE_ROWS = 2_000
-#: Virtual time at which no more passes are queued; the budget ends about 1.
-HORIZON = 2.0
+#: Rows that a slice holds about, and bits of the order key that a level adds.
+SLICE_ROWS, LEVEL = 2_000, 10
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,13 +41,14 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, off = text_bytes(batch.column("text"))
         n = [np.diff(words(data[off[a] : off[b]], off[a : b + 1] - off[a], SPACE_TABLE)[3]) for a, b in pieces(off, 1 << 20)]
         size = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), size], names=["doc_id", "source", "size"])
+        i = batch.schema.names.index("text")
+        yield pa.RecordBatch.from_arrays([c for k, c in enumerate(batch.columns) if k != i] + [size], names=[c for c in batch.schema.names if c != "text"] + ["size"])
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words of every document."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").mapInArrow(
-        _sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, size long"
+    """doc_id, source, h (hash of the text) and size in words of every document."""
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), "text").mapInArrow(
+        _sizes, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, h long, size long"
     )
 
 
@@ -72,51 +72,60 @@ def targets(totals: DataFrame, weight: Column, most: int = MOST) -> DataFrame:
     return t.withColumn("level", level).select("source", "source_size", F.least("room", F.coalesce(F.col("level") * F.col("weight"), F.col("room"))).alias("target"))
 
 
-def _running(df: DataFrame, key: list[str], order: list, slice_of: Column, value: str, out: str) -> DataFrame:
-    """Running sum of `value` per key in the given order, itself included, by slices.
+def running(df: DataFrame, bits: int) -> DataFrame:
+    """Adds upto, the running sum of `sum` per source in the order of `key`, itself included.
 
-    `slice_of` must not decrease along the order.
+    The order is cut into 2**bits slices by the key's leading bits.  Sums of slices are cut again, LEVEL bits
+    at a time, and every level adds what stands before within the next one.
     """
-    df = df.withColumn("_slice", slice_of)
-    per = df.groupBy(*key, "_slice").agg(F.sum(value).alias("_sum"))
-    base = F.sum("_sum").over(Window.partitionBy(*key).orderBy("_slice")) - F.col("_sum")
-    per = per.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_slice").alias("_s"), base.alias("_base"))
-    on = F.col("_slice").eqNullSafe(F.col("_s"))
-    for i, k in enumerate(key):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = F.sum(value).over(Window.partitionBy(*key, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    df = df.withColumn("_in", within).join(per, on)
-    return df.withColumn(out, F.col("_base") + F.col("_in")).drop("_slice", "_in", "_base", "_s", *[f"_k{i}" for i in range(len(key))])
+    key, same = F.col("key"), ["source"]
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source", "above").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = None
+    for level in range(LEVEL, bits + LEVEL, LEVEL):
+        b = min(level, bits)
+        per = df.groupBy("source", F.shiftright(key, 64 - b).alias("slice")).agg(F.sum("sum").alias("sum"))
+        # the first level has at most 2**LEVEL slices of a source
+        per = per.withColumn("above", F.shiftright("slice", b - (level - LEVEL)) if level > LEVEL else F.lit(0).cast("long"))
+        per = per.select("source", "slice", "above", before.alias("base"))
+        if base is not None:
+            up = base.select(F.col("source").alias("_source"), F.col("slice").alias("_above"), F.col("base").alias("_base"))
+            per = per.join(up, F.col("source").eqNullSafe(F.col("_source")) & (F.col("above") == F.col("_above"))).select("source", "slice", (F.col("base") + F.col("_base")).alias("base"))
+        base = per.select("source", "slice", "base")
+    base = base.select(F.col("source").alias("_source"), F.col("slice").alias("_slice"), "base")
+    within = F.sum("sum").over(Window.partitionBy(*same, "slice").orderBy("key", "doc_id", "h", "size").rowsBetween(Window.unboundedPreceding, 0))
+    d = df.withColumn("slice", F.shiftright(key, 64 - bits)).withColumn("within", within)
+    return d.join(base, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice"))).withColumn("upto", F.col("base") + F.col("within")).drop("slice", "within", "_source", "_slice", "base")
+
+
+def queue(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> DataFrame:
+    """source, doc_id, h, size, rows, source_size, target and number (array) of every distinct document.
+
+    number[e] says how many of the document's equal rows pass e takes; it does not increase with e.
+    """
+    d = sizes(docs).withColumn("key", F.xxhash64(F.lit("order"), "doc_id", "source", "h", "size"))
+    d = d.groupBy("source", "key", "doc_id", "h", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("sum", F.col("size") * F.col("rows"))
+    d = cut(d)
+    totals = d.groupBy("source").agg(F.sum("sum").alias("source_size"))
+    per = targets(totals, weight if weight is not None else cyclic_weight(), most).withColumnRenamed("source", "_source")
+    bits = max(1, d.count() // SLICE_ROWS).bit_length()
+    d = running(d, bits)
+    d = d.join(F.broadcast(per) if _few(per) else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+
+    def taken(e: Column) -> Column:
+        """Of the rows j = 1, 2, ... whose passes end at start + j * size tokens: those that end by the target, or are nearer to it with it than without."""
+        start = e * F.col("source_size") + F.col("upto") - F.col("sum")
+        j = F.ceil((F.col("target") - start) / F.col("size") + 0.5) - 1
+        return F.least(F.greatest(j, F.lit(0)), F.col("rows")).cast("long")
+
+    number = F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), taken)).otherwise(F.array_repeat(F.lit(0).cast("long"), most))
+    return d.withColumn("number", number).drop("key", "sum")
 
 
 def mix(docs: DataFrame, weight: Column | None = None, most: int = MOST) -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every document."""
-    d = cut(sizes(docs).withColumn("key", F.xxhash64(F.lit("order"), "doc_id", "source", "size")))
-    totals = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n"))
-    per = targets(totals.select("source", "source_size"), weight if weight is not None else cyclic_weight(), most)
-    n, budget = d.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    bits = max(1, (n // SLICE_ROWS)).bit_length()
-    slice_of = F.shiftright("key", 64 - bits)
-    d = _running(d, ["source"], ["key", "doc_id", "size"], slice_of, "size", "upto")
-    per = per.withColumnRenamed("source", "_source")
-    d = d.join(F.broadcast(per) if _few(per) else per, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # pass e of a document ends at virtual time (e * source_size + upto) / target; 1 is the end of the budget
-    ends = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (e * F.col("source_size") + F.col("upto")) / F.col("target"))
-    d = d.withColumn("ends", F.when((F.col("target") > 0) & (F.col("size") > 0), F.filter(ends, lambda v: v <= HORIZON)).otherwise(F.array().cast("array<double>")))
-    d = cut(d, n, 256)
-    grid = 1 << bits
-    at = d.select(F.explode("ends").alias("v"), "size").withColumn("cell", F.floor(F.col("v") * grid))
-    cells = at.groupBy("cell").agg(F.sum("size").alias("s")).withColumn("upto", F.sum("s").over(Window.orderBy("cell")))
-    last = cells.where(F.col("upto") > budget).agg(F.min("cell"), F.min_by(F.col("upto") - F.col("s"), "cell")).first()
-    if last[0] is None:
-        stop = 2.0
-    else:  # the cell where the budget ends: sort its passes alone
-        w = Window.orderBy("v", F.col("size"))
-        inside = at.where(F.col("cell") == last[0]).groupBy("v").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(w) + F.lit(last[1]))
-        stop = inside.where(F.col("upto") <= budget).agg(F.max("v")).first()[0]
-        stop = stop if stop is not None else last[0] / grid - 1e-15
-    taken = F.size(F.filter("ends", lambda v: v <= F.lit(stop))) * F.col("size")
-    return d.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
+    each = queue(docs, weight, most).withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    taken = F.size(F.filter("number", lambda k: k >= F.col("j"))) * F.col("size")
+    return each.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def _few(per: DataFrame, most: int = 10_000) -> bool:
@@ -129,28 +138,62 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The documents (all columns) and copy: a row for every pass over a document that the mix takes.
+    """The documents (all columns), copy and virtual_time: a row for every pass over a document that the mix takes, range-sorted by virtual time.
 
-    Rows that agree in id, source and size are told apart by their number in text order.
+    Rows that agree in id, source and text are told apart by a number.
+    """
+    plan = queue(docs).where(F.col("number")[0] > 0)
+    names = {c: f"_m{i}" for i, c in enumerate(plan.columns)}
+    plan = plan.select(*[F.col(c).alias(n) for c, n in names.items()])
+    free, inner = free_names(docs)
+    of = dict(zip(docs.columns, inner))
+    doc, source = F.col(of["doc_id"]), F.col(of["source"]).cast("string")
+    d = free.withColumn("_h", F.xxhash64(of["text"]))
+    same = doc.eqNullSafe(F.col(names["doc_id"])) & source.eqNullSafe(F.col(names["source"])) & (F.col("_h") == F.col(names["h"]))
+    d = d.join(plan, same)
+    rows, number = F.col(names["rows"]), F.col(names["number"])
+    # most documents stand alone and need no number
+    numbered = d.where(rows > 1).withColumn("_j", F.row_number().over(Window.partitionBy(of["doc_id"], of["source"], "_h").orderBy(*inner_order(docs, inner))))
+    d = d.where(rows == 1).withColumn("_j", F.lit(1)).unionByName(numbered)
+    d = d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(MOST)))).where(F.element_at(number, F.col("_copy")) >= F.col("_j"))
+    tokens = (F.col("_copy") - 1) * F.col(names["source_size"]) + F.col(names["upto"]) - (rows - F.col("_j")) * F.col(names["size"])
+    d = d.withColumn("_at", tokens / F.col(names["target"])).repartitionByRange("_at", of["doc_id"]).sortWithinPartitions("_at", of["doc_id"])
+    new = [n if n not in docs.columns else f"{n}_" for n in ("copy", "virtual_time")]
+    return d.select(*[F.col(n).alias(c) for n, c in zip(inner, docs.columns)], F.col("_copy").alias(new[0]), F.col("_at").alias(new[1]))
+
+
+def inner_order(docs: DataFrame, names: list[str]) -> list[Column]:
+    """The columns that can be ordered by."""
+    from pyspark.sql import types as T
+
+    return [F.col(n) for f, n in zip(docs.schema.fields, names) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+
+
+def brute(rows: list[tuple], most: int = MOST) -> dict:
+    """Passes taken of (source, size, order) rows by plain queueing: sort every source, walk its passes while they bring it nearer (for tests).
+
+    Rows are (source, size, place): place orders a source.  The result lists taken words by row.
     """
-    key = ["doc_id", "source", "size"]
-    plan = mix(docs).where("taken > 0").select(*key, (F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("_copies").desc())))
-    plan = plan.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("n").alias("_n"), "_copies")
-    d = with_size(docs).withColumn("_number", F.row_number().over(Window.partitionBy("doc_id", "source", "_words").orderBy("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_number") == F.col("_n"))
-    name = "copy" if "copy" not in docs.columns else "copy_"
-    return d.join(plan, same).select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(name))
-
-
-def with_size(docs: DataFrame) -> DataFrame:
-    """The documents and _words, their size."""
-    cols = docs.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = next(iter(_sizes([pa.RecordBatch.from_arrays([batch.column(cols.index(c)) for c in ("doc_id", "source", "text")], names=["doc_id", "source", "text"])]))).column("size")
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(cols))], size], names=[*cols, "_words"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{schema}, _words long")
+    of: dict = {}
+    for i, (source, size, place) in enumerate(rows):
+        of.setdefault(source, []).append((place, i, size))
+    order = sorted((s for s in of if s is not None)) + ([None] if None in of else [])
+    total = {s: sum(x[2] for x in of[s]) for s in of}
+    weight = {s: k % 3 + 1 for k, s in enumerate(order)}
+    target, capped = {}, set()
+    while True:
+        left = sum(total.values()) - sum(most * total[s] for s in capped)
+        free = sum(weight[s] for s in order if s not in capped)
+        target = {s: float(most * total[s]) if s in capped else left * weight[s] / free for s in order}
+        over = {s for s in order if target[s] > most * total[s] and s not in capped}
+        if not over:
+            break
+        capped |= over
+    taken = [0] * len(rows)
+    for s in order:
+        done = 0
+        for _, i, size in sorted(of[s]) * most:
+            if abs(done + size - target[s]) < abs(done - target[s]):
+                taken[i] += size
+            done += size
+    return {"taken": taken, "target": target, "total": total}
