@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_names, own_names
 from .tokens import SPACE_TABLE, distinct_sets, pieces, text_bytes, windows, words
 
 ROWS, MISS, SURE = 5, 1e-6, 12.5
@@ -347,15 +347,16 @@ def deduplicated(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100)
     Of rows that share a kept doc_id one stays, and of rows without id one of each text that
     no row with an id has.
     """
-    kept = near_duplicates(docs, width, num, den).where("kept")
+    kept = near_duplicates(docs.select("doc_id", "text"), width, num, den).where("kept")
     ids = kept.where("doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    without = docs.where("doc_id is null").dropDuplicates(["text"])
+    free, names = free_names(docs, "doc_id", "text")
+    with_id = free.where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    without = free.where("doc_id is null").dropDuplicates(["text"])
     if not without.isEmpty():
-        known = docs.where("doc_id is not null").select(F.xxhash64("text").alias("_known"), F.col("text").alias("_known_text"))
+        known = free.where("doc_id is not null").select(F.xxhash64("text").alias("_known"), F.col("text").alias("_known_text"))
         without = without.withColumn("_hash", F.xxhash64("text"))
         without = without.join(known, (F.col("_hash") == F.col("_known")) & F.col("text").eqNullSafe(F.col("_known_text")), "left_anti")
-    return with_id.select(*docs.columns).unionByName(without.select(*docs.columns))
+    return own_names(with_id.select(*names).unionByName(without.select(*names)), names, docs.columns)
 
 
 def brute(docs: list[tuple[object, str | None]], width: int, num: int, den: int) -> dict:
