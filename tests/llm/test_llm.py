@@ -550,6 +550,55 @@ def test_html_odd_pages(spark):
     assert "A" in got[3] and htmlmain.digest(df.limit(0)).count() == 0
 
 
+def test_html_region_against_all_intervals():
+    rng = random.Random(7)
+    for _ in range(300):
+        w = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(14))]
+        sums = {(i, j): sum(w[i : j + 1]) for i in range(len(w)) for j in range(i, len(w))}
+        first, last = htmlmain.region(w)
+        assert sum(w[first : last + 1]) == max([0.0, *sums.values()])
+
+
+def _gold(h):
+    a = re.search(r"<article>(.*?)</article>", h, re.S).group(1)
+    blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", a)]
+    return "\n".join(b for b in blocks if b)
+
+
+def test_html_without_marks(spark):
+    """Weights learned from the pages at hand find the article where neither names nor classes mark anything."""
+    pages = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    half = spark.createDataFrame([(p,) for p in pages[::2]], "html string")
+    weights = htmlmain.learn(half)
+    assert weights != htmlmain.weights_of({}) and weights["b:div"] < 0 < weights["b:p"] and weights["m:ad"] < htmlmain.SET_APART
+    for page in pages[1::2]:
+        bare = re.sub(r' (class|id|role)="[^"]*"', "", re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page))
+        assert "article" not in bare and htmlmain.main_text(bare, weights) == _gold(page) == htmlmain.main_text(page, weights)
+
+
+def test_html_marks_are_no_features():
+    weights = htmlmain.weights_of({})
+    body = "<div><p>The main text of this page stands in plain blocks and has words enough to count.</p><p>And a second one.</p></div>"
+    want = "The main text of this page stands in plain blocks and has words enough to count.\nAnd a second one."
+    assert htmlmain.main_text(f"<!-- <article> -->{body}<article class='comment'><p>I like it</p></article>", weights) == want
+    assert htmlmain.main_text(f"<body class='has-sidebar'>{body}<div class='sidebar'><p>more to see here</p></div>", weights) == want
+    inner = body.replace("</p><p>", "</p><aside><p>a note beside it, of some words</p></aside><div class='ad'>buy now</div><form><p>mail</p></form><p>")
+    assert htmlmain.main_text(f"<article>{inner}</article><section id=comments><p>{'first! ' * 12}</p></section>", weights) == want
+    assert htmlmain.main_text("<p title='a > b'>x &lt; y<p data-q=\"'>\">z", weights) == "x < y\nz"
+    assert not htmlmain.counted(f"<article>{body}</article><article>{body}</article>") and not htmlmain.counted(body)
+
+
+@pytest.mark.parametrize("unit", ["<a '", "<b></i>", "<!--", "<script>", "<div class=x>w ", "<p><b>", "</", "<a b='", "<article>w ", "<svg/>", "<x y= '", "&amp"])
+def test_html_is_linear(unit):
+    import time
+
+    page = unit * (1_000_000 // len(unit))
+    began = time.time()
+    htmlmain.main_text(page, htmlmain.weights_of({}))
+    htmlmain.main_text("<b>" * 150_000 + "</i>" * 150_000, htmlmain.weights_of({}))
+    assert time.time() - began < 40
+
+
 # ---- all
 
 
