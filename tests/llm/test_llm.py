@@ -348,30 +348,55 @@ def test_url_rules_against_plain_python(spark):
     assert linkgraph.judge(df.limit(0)).count() == 0
 
 
-def test_ranks_against_power_iteration(spark):
+@pytest.mark.parametrize("hub", [None, 0])
+def test_ranks_against_power_iteration(spark, hub):
     edges = [("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 1.0), ("c", "a", 1.0), ("d", "c", 1.0)]
-    seeds = {"a": 0.75, "d": 0.25}
-    rank = dict(seeds)
-    out = {}
-    for s, _, w in edges:
-        out[s] = out.get(s, 0) + w
-    for _ in range(6):
-        new = {h: 0.15 * v for h, v in seeds.items()}
-        for s, t, w in edges:
-            new[t] = new.get(t, 0) + 0.85 * rank.get(s, 0) * w / out[s]
-        rank = new
-    got = linkgraph.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 3.0), ("d", 1.0)], "host string, mass double"), rounds=6)
-    assert {r[0]: r[1] for r in got.collect()} == pytest.approx(rank)
+    good, bad = {"a": 0.75, "d": 0.25}, {"b": 0.5, "c": 0.5}
+
+    def power(edges, seeds, rounds):
+        rank, out = dict(seeds), {}
+        for s, _, w in edges:
+            out[s] = out.get(s, 0) + w
+        for _ in range(rounds):
+            new = {h: 0.15 * v for h, v in seeds.items()}
+            for s, t, w in edges:
+                new[t] = new.get(t, 0) + 0.85 * rank.get(s, 0) * w / out[s]
+            rank = new
+        return rank
+
+    table = spark.createDataFrame(edges, "src string, dst string, weight double")
+    seeds = spark.createDataFrame([(h, 4 * good.get(h, 0.0), 2 * bad.get(h, 0.0)) for h in "abcd"], "host string, good double, bad double")
+    back = [(t, s, w) for s, t, w in edges]
+    for rounds in (6, None):
+        got = {r["host"]: r for r in linkgraph.propagate(table, seeds, rounds=rounds, hub=hub, least=1e-3).collect()}
+        for h in "abcd":
+            want = power(edges, good, rounds or 200).get(h, 0.0), power(back, bad, rounds or 200).get(h, 0.0)
+            assert (got[h]["trust"], got[h]["distrust"]) == pytest.approx(want, abs=1e-12 if rounds else 0.1)
+            assert (got[h]["distrust"] >= got[h]["trust"]) == (want[1] >= want[0])
 
 
 def test_distrust_flows_back_along_links(spark):
     link = '<a href="http://bad.org/x">x</a>'
     rows = [(0, "http://bad.org/es/1", ""), (1, "http://near.org/fr/1", link * 3), (2, "http://far.org/fr/1", ""), (3, "http://good.net/de/1", '<a href="http://friend.org/">f</a>'), (4, "http://friend.org/fr/", None)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash")).withColumn("linked", F.lit(1))
     got = {r["page_id"]: r["verdict"] for r in linkgraph.judge(df).collect()}
     assert got == {0: "block", 1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
+def test_parent_domains_tie_hosts(spark, monkeypatch):
+    """The given pages link to nobody; their hosts are tied by parent domains. A hot host is met by broadcast."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    hosts = pages.select(linkgraph.host_of(F.col("url")).alias("host"), F.array().cast("array<string>").alias("linked"))
+    edges = {(r["src"], r["dst"]) for r in linkgraph.host_edges(hosts).collect()}
+    assert ("example.com" in {d for _, d in edges}) and len(edges) > 100 and {(b, a) for a, b in edges} == edges
+    whole = sorted(map(str, linkgraph.judge(pages).select("page_id", "rule", "verdict").collect()))
+    monkeypatch.setattr(linkgraph, "HUB", 2)
+    assert sorted(map(str, linkgraph.judge(pages.repartition(3)).select("page_id", "rule", "verdict").collect())) == whole
+    rows = [(0, "http://a.x.org/es/1", None), (1, "http://b.x.org/fr/1", None), (2, "http://1.2.3.4/fr/", None), (3, "http://c.y.net/de/", None), (4, "http://d.y.net/fr/", None), (4, None, None), (None, "http://b.x.org/fr/1", "x" * 200_000)]
+    got = [(r["page_id"], r["verdict"]) for r in linkgraph.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == sorted([(0, "block"), (1, "block"), (2, "allow"), (3, "allow"), (4, "allow"), (4, "allow"), (None, "block")], key=str)
+
+
 # ---- 6
 
 
