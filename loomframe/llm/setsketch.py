@@ -10,9 +10,11 @@ is chosen so that a pair at the threshold is missed with probability below `MISS
 likelihood test only drops a pair that is exp(-SURE) times less likely to reach it.
 
 Equal sets are one node throughout, found by a 128-bit digest with map-side combine.
-Large buckets and large groups are cut into blocks by id hash, and every pair of blocks is its own
-task, so no task holds an unbounded group and no pair of texts goes unseen; tasks
-emit spanning links only, never all pairs.  Components come from star contraction over
+Small buckets and groups are compared pair by pair in one task.  Large ones are cut into blocks by id hash, and every
+block meets about `HEADS` members drawn by hash: m near copies of one text cost HEADS * m comparisons.  Members outside the
+greatest component that this finds are then compared with all members, block by block, so no pair of texts
+goes unseen that could add a link; r such members of m cost r * m comparisons and r * m / CHUNK rows of shuffle, which is quadratic only for
+groups that are chains rather than copies.  Tasks emit spanning links only, never all pairs.  Components come from star contraction over
 tables, checkpointed each round.
 
 Defined cases: a null, empty or wordless text has the empty set, is linked with
@@ -38,7 +40,10 @@ from .tokens import SPACE_TABLE, distinct_sets, pieces, text_bytes, windows, wor
 
 ROWS, MISS, SURE = 5, 1e-6, 12.5
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
+#: Members that a task compares pair by pair at most (half of them), of buckets and of groups.
 BUCKET_BLOCK, GROUP_BLOCK = 1024, 128
+#: Of large buckets and groups: members of a block, heads expected, and heads of a task of the second pass.
+BLOCK, HEADS, CHUNK = 1024, 16, 128
 #: A node with more links than HUB and more than 1 / HUBS of all is a hub; there are fewer than HUBS.
 HUB, HUBS = 1_000, 1_000
 
@@ -179,13 +184,88 @@ def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sketch binary")
 
 
-def _blocks(df: DataFrame, key: str, size: str, node: str, block: int) -> DataFrame:
-    """Adds _g, the task group: the key itself, or one of its pairs of blocks if it is large."""
-    k = F.ceil(F.col(size) / block).cast("int")
-    mine = F.pmod(F.xxhash64(F.lit("block"), node), k).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), k - 1), lambda o: F.xxhash64(key, F.least(o, mine), F.greatest(o, mine)))
-    whole = F.array(F.xxhash64(key))
-    return df.withColumn("_g", F.explode(F.when(F.col(size) <= 2 * block, whole).otherwise(pair)))
+def _by_heads(members: DataFrame, payload: DataFrame, linked, block: int) -> DataFrame:
+    """a, b: spanning links within large groups, from members(key, node, size) and payload(node, ...).
+
+    linked(heads, members) says which pairs [member, head] of two Arrow tables of payload rows are linked; only
+    members outside the greatest component that links with heads make are compared with all others.
+    """
+    kind, fields = members.schema["node"].dataType.simpleString(), [c for c in payload.columns if c != "node"]
+    width, chunk = (BLOCK, CHUNK) if block >= 64 else (block, block)
+    k = F.ceil(F.col("size") / width).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit("block"), "node"), k).cast("int")
+    every = F.explode(F.sequence(F.lit(0), k - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, heads, forest = None, None, None
+
+        def found(key, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, types[0]), pa.array(b, types[0])], names=["key", "a", "b"])
+
+        types = [None]
+        for batch in batches:
+            types[0] = batch.schema.field("node").type
+            at = batch.column("_g").to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]]) if len(at) else [0]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                part = pa.Table.from_batches([batch.slice(s, e - s)])
+                if at[s] != g:
+                    g, heads = at[s], None
+                role = part.column("role").to_numpy()
+                top = part.filter(pa.array(role == 0))
+                if top.num_rows:
+                    heads = top if heads is None else pa.concat_tables([heads, top])
+                    forest = _Forest(heads.num_rows)
+                rest = part.filter(pa.array(role == 1))
+                if not rest.num_rows:
+                    continue
+                key, node = rest.column("key").to_numpy(), rest.column("node").to_numpy()
+                if heads is None:
+                    yield found(key, node, [None] * len(node))
+                    continue
+                name = heads.column("node").to_numpy()
+                ok = linked(heads, rest)
+                self_ = node[:, None] == name
+                some = (ok & ~self_).any(1)
+                first = (ok & ~self_).argmax(1)
+                yield found(key[some], node[some], name[first[some]])
+                if (~some).any():
+                    yield found(key[~some], node[~some], [None] * int((~some).sum()))
+                # heads that a member links, itself included if it is one
+                i, j = np.nonzero((ok | self_) & some[:, None])
+                f = first[i]
+                before = forest.label.copy()
+                forest.join(f, j)
+                moved = np.flatnonzero(forest.label != before)
+                if len(moved):
+                    yield found(np.full(len(moved), key[0]), name[moved], name[forest.label[moved]])
+
+    def compared(heads: DataFrame, rest: DataFrame) -> DataFrame:
+        rows = heads.withColumn("role", F.lit(0)).unionByName(rest.withColumn("role", F.lit(1))).join(payload, "node")
+        rows = rows.select("_g", "role", "key", "node", *fields).repartition("_g").sortWithinPartitions("_g", "role")
+        return rows.mapInArrow(run, f"key long, a {kind}, b {kind}")
+
+    one = compared(
+        members.where(F.pmod(F.xxhash64(F.lit("head"), "node"), F.col("size")) < HEADS).select("key", "node", every.alias("at")).select("key", "node", F.xxhash64("key", "at").alias("_g")),
+        members.select("key", "node", F.xxhash64("key", mine).alias("_g")),
+    )
+    one = cut(one)
+    links = one.where("b is not null and a != b").select("a", "b")
+    # two members of the greatest component add nothing; all others meet everybody
+    comp = components(links).select("node", F.col("root").alias("comp"))
+    placed = members.join(comp, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    per = cut(per.where(F.col("n") < F.col("all")).select("key", "main", (F.col("all") - F.col("n")).alias("lone")))
+    if per.isEmpty():
+        return links
+    lone = placed.join(per, "key").where(F.col("comp") != F.col("main")).select("key", "node")
+    chunks = F.ceil(F.col("lone") / chunk).cast("int")
+    left = members.join(per.select("key", "lone"), "key")
+    number = F.pmod(F.xxhash64(F.lit("chunk"), "node"), chunks).cast("int")
+    heads = lone.join(left, ["key", "node"]).select("key", "node", number.alias("c"), every.alias("at")).select("key", "node", F.xxhash64("key", "c", "at").alias("_g"))
+    rest = left.select("key", "node", mine.alias("at"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("c")).select("key", "node", F.xxhash64("key", "c", "at").alias("_g"))
+    two = compared(heads, rest).where("b is not null and a != b").select("a", "b")
+    return links.unionByName(two)
 
 
 def candidates(nodes: DataFrame, bands: int, num: int, den: int, rows: int = ROWS, block: int = BUCKET_BLOCK) -> DataFrame:
@@ -193,14 +273,12 @@ def candidates(nodes: DataFrame, bands: int, num: int, den: int, rows: int = ROW
     width = 2 * rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substr("sketch", i * width + 1, F.lit(width))))
     banded = nodes.select("node", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = banded.join(shared, "key")
-    ready = _blocks(members, "key", "size", "node", block).select("_g", "node").join(nodes.select("node", "n", "sketch"), "node")
+    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     kind = nodes.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, "_g"):
-            g = table.column("_g").to_numpy()
+        for table in _grouped(batches, "key"):
+            g = table.column("key").to_numpy()
             node = table.column("node").to_numpy()
             n = table.column("n").to_numpy().astype(np.float64)
             sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(len(g), -1)
@@ -219,7 +297,18 @@ def candidates(nodes: DataFrame, bands: int, num: int, den: int, rows: int = ROW
             a, b = node[child], node[forest.label[child]]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return ready.repartition("_g").sortWithinPartitions("_g").mapInArrow(run, f"a {kind}, b {kind}").where("a != b").distinct()
+    def linked(heads: pa.Table, members: pa.Table) -> np.ndarray:
+        x, y = (np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16).reshape(t.num_rows, -1) for t in (members, heads))
+        nx, ny = (t.column("n").to_numpy().astype(np.float64) for t in (members, heads))
+        return np.column_stack([plausible(x, np.broadcast_to(y[j], x.shape), nx, np.full(len(nx), ny[j]), num, den) for j in range(len(ny))])
+
+    small = banded.join(shared.where(F.col("size") <= 2 * block).select("key"), "key").join(nodes.select("node", "n", "sketch"), "node").select("key", "node", "n", "sketch")
+    links = small.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"a {kind}, b {kind}")
+    # fewer than nodes * bands / (2 * block) keys, often none
+    large = shared.where(F.col("size") > 2 * block)
+    if not large.isEmpty():
+        links = links.unionByName(_by_heads(banded.join(large, "key"), nodes.select("node", "n", "sketch"), linked, block))
+    return links.where("a != b").distinct()
 
 
 def _with_least(links: DataFrame, least: DataFrame, most: int, hub: int) -> DataFrame:
@@ -233,63 +322,82 @@ def _with_least(links: DataFrame, least: DataFrame, most: int, hub: int) -> Data
     return met.where("m is not null").select("u", "v", "m").unionByName(rest)
 
 
-def components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """node, root: the smallest node of every component, for all nodes but the roots, from links a, b.
 
-    Large-star and small-star steps alternate until no link changes.  Minima are
+    Large-star and small-star steps alternate until every node has one link, to a node that has none.  Minima are
     combined before the shuffle and joined back, those of hubs by broadcast, so that a hub does not gather in one task.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    # no step makes more links than there were
-    count = lambda: tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-    seen = count()
-    for _ in range(most_rounds):
+    most = e.count()  # no step makes more links than there were
+
+    def settled() -> bool:
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return per.where("up > 1 or up = 1 and down = 1").isEmpty()
+
+    while not settled():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        e = _with_least(both, least, 2 * seen[0], hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = _with_least(both, least, 2 * most, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        met = _with_least(e, least, seen[0], hub)
-        e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), seen[0])
-        now = count()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        met = _with_least(e, least, most, hub)
+        e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), most)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def confirmed(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int, block: int = GROUP_BLOCK) -> DataFrame:
-    """a, b: spanning links that hold on full sets, from groups (node, root); a root is its own node too."""
+    """node, root: the components by links that hold on full sets, within groups (node, root); a root is its own node too."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
-    sizes = whole.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    member = whole.join(sizes, "root")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text").join(member, "node")
+    sizes = cut(whole.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [values[off[i] : off[i + 1]].tobytes() for _, _, values, off in sets_of(batch.column("text"), width) for i in range(len(off) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("size"), pa.array(made, pa.binary())], names=["node", "root", "size", "shingles"])
+    def sets(of: DataFrame) -> DataFrame:
+        """node, root and shingles of the documents that are nodes of(node, root)."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [values[off[i] : off[i + 1]].tobytes() for _, _, values, off in sets_of(batch.column("text"), width) for i in range(len(off) - 1)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(made, pa.binary())], names=["node", "root", "shingles"])
 
-    sets = texts.select("node", "root", "size", "text").mapInArrow(to_sets, f"node {kind}, root {kind}, size long, shingles binary")
+        return texts.join(of, "node").select("node", "root", "text").mapInArrow(run, f"node {kind}, root {kind}, shingles binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _grouped(batches, "_g"):
-            g, node = table.column("_g").to_numpy(), table.column("node").to_numpy()
+        for table in _grouped(batches, "root"):
+            g, node = table.column("root").to_numpy(), table.column("node").to_numpy()
             raw = table.column("shingles").to_pylist()
             a, b = [], []
             begin = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
             for s, e in zip(begin[:-1], begin[1:]):
-                if e - s > 1:
+                if e - s > 1:  # nodes are in order, so that the least of a component is its first
                     child, parent = links_within([np.frombuffer(x, np.uint64) for x in raw[s:e]], num, den)
                     a.append(node[s:e][child])
                     b.append(node[s:e][parent])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["node", "root"])
+
+    small = sets(whole.join(sizes.where(F.col("size") <= 2 * block).select("root"), "root").select("node", "root"))
+    roots = small.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, f"node {kind}, root {kind}").where("node != root").groupBy("node").agg(F.min("root").alias("root"))
+    large = sizes.where(F.col("size") > 2 * block)
+    if large.isEmpty():
+        return roots
+
+    def linked(heads: pa.Table, members: pa.Table) -> np.ndarray:
+        x = [np.frombuffer(v, np.uint64) for v in members.column("shingles").to_pylist()]
+        values, n = np.concatenate(x), np.array([len(v) for v in x])
+        begin = np.cumsum(n) - n
+        out = np.zeros((len(x), heads.num_rows), bool)
+        for j, raw in enumerate(heads.column("shingles").to_pylist()):
+            y = np.frombuffer(raw, np.uint64)
+            hit = y[np.minimum(np.searchsorted(y, values), len(y) - 1)] == values
+            inter = np.add.reduceat(hit, begin, dtype=np.int64)
+            out[:, j] = den * inter >= num * (n + len(y) - inter)
+        return out
 
-    grouped = _blocks(sets, "root", "size", "node", block).select("_g", "node", "shingles").repartition("_g").sortWithinPartitions("_g")
-    return grouped.mapInArrow(run, f"a {kind}, b {kind}").where("a != b").distinct()
+    hashed = whole.join(large, "root").select(F.xxhash64(F.lit("group"), "root").alias("key"), "node", "size", "root")
+    links = _by_heads(hashed.drop("root"), sets(hashed.select("node", "root")).where(F.length("shingles") > 0).select("node", "shingles"), linked, block)
+    return roots.unionByName(components(links))
 
 
 def links_within(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -330,7 +438,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     )
     named = nodes.where("node is not null")
     groups = components(candidates(named.select("node", "n", "sketch"), bands, num, den))
-    roots = components(confirmed(docs, groups, width, num, den))
+    roots = confirmed(docs, groups, width, num, den)
     comp = named.select("hi", "lo", "node").join(roots, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("component"))
     out = sk.select("doc_id", "n", "hi", "lo").join(comp, ["hi", "lo"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))

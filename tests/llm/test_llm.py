@@ -52,18 +52,24 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, width, num):
     assert got == setsketch.brute(list(enumerate(texts)), width, num, 100)
 
 
-def test_blocks_see_all_pairs(spark):
+def test_blocks_see_all_pairs(spark, monkeypatch):
     """Groups beyond the block sizes give the same components."""
     rng = random.Random(9)
     base = words(rng, 80)
     texts = [" ".join(edited(rng, base, 0.012)) for _ in range(60)]
+    line = words(rng, 400)
+    texts += [" ".join(line[3 * i : 3 * i + 80]) for i in range(70)]  # a chain: only neighbours are linked
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    texts = [texts[i] for i in order]
     docs = docs_of(spark, texts)
     nodes = setsketch.sketches(docs, 3, setsketch.bands_for(85, 100) * setsketch.ROWS).select(F.col("doc_id").alias("node"), "n", "sketch")
     bands = setsketch.bands_for(85, 100)
-    for block in (4, 1000):
+    monkeypatch.setattr(setsketch, "HEADS", 5)
+    for block in (1, 4, 1000):
         edges = setsketch.candidates(nodes, bands, 85, 100, block=block)
         groups = setsketch.components(edges)
-        roots = {r[0]: r[1] for r in setsketch.components(setsketch.confirmed(docs, groups, 3, 85, 100, block=block)).collect()}
+        roots = {r[0]: r[1] for r in setsketch.confirmed(docs, groups, 3, 85, 100, block=block).collect()}
         want = {i: v[1] for i, v in setsketch.brute(list(enumerate(texts)), 3, 85, 100).items() if v[1] != i}
         assert roots == want
 
