@@ -4,8 +4,8 @@ Templates are word sequences (A-Z lower-cased; words of digits, letters and non-
 characters).  For every template length, texts are cut into windows of one and a half
 times that length every half length, so that an occurrence lies whole in some window.
 A window whose least shingle hashes agree with a template's in any band is a candidate;
-with `BANDS` bands of one row a window that holds the template whole is missed with
-probability below 1e-5.  Candidates are verified by the exact share of the template's
+with `BANDS` bands of one row a window whose share of the template's shingles reaches `CONTAINMENT` is missed with
+probability below 1e-5 (`miss` gives the bound of each template; one-shingle notices are the worst).  Candidates are verified by the exact share of the template's
 distinct shingles in the window, which must reach `CONTAINMENT`.
 
 Shingles have five words, or the whole template's if it is shorter.  Defined cases:
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from .tokens import ALNUM_TABLE, mix64, pieces, text_bytes, windows, words
 
-SHINGLE, BANDS, CONTAINMENT = 5, 24, 0.8
-#: Notices by license, as they are usually written.
+SHINGLE, BANDS, CONTAINMENT = 5, 30, 0.8
+#: Notices by license, in their public wording.
 TEMPLATES = {
     "all-rights-reserved": ["All rights reserved."],
     "mit": [
@@ -40,7 +40,17 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "lgpl": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
+    "agpl-3.0": ["it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "unlicense": ["This is free and unencumbered software released into the public domain."],
+    "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
+    "bsl-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ],
     "cc-by-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0."],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0."],
@@ -71,14 +81,14 @@ class Scanner:
         self.xor = rng.integers(0, 1 << 63, bands, dtype=np.uint64)
         self.mul = rng.integers(0, 1 << 63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.containment = containment
-        self.classes: dict[tuple[int, int], list[tuple[str, np.ndarray, np.ndarray]]] = {}
+        #: by shingle width, then by template length
+        self.classes: dict[int, dict[int, list[tuple[str, np.ndarray, np.ndarray]]]] = {}
         for name, texts in templates.items():
             for t in texts:
                 h = _hashes(t)
                 width = min(SHINGLE, len(h))
                 s = np.unique(_shingles(h, np.array([0, len(h)]), width)[0])
-                size = 1 << (len(h) - 1).bit_length() if len(h) > 16 else len(h)  # long ones share windows by powers of two
-                self.classes.setdefault((width, size), []).append((name, s, self._minima(s[None].T)[:, 0] if len(s) == 1 else self._least(s)))
+                self.classes.setdefault(width, {}).setdefault(len(h), []).append((name, s, self._least(s)))
 
     def _minima(self, s: np.ndarray) -> np.ndarray:
         return ((s.ravel()[None] ^ self.xor[:, None]) * self.mul[:, None]).reshape(len(self.xor), -1)
@@ -92,40 +102,57 @@ class Scanner:
         out: list[list] = [[] for _ in range(len(off) - 1)]
         for a, b in pieces(off, 1 << 20):
             h, _, _, per = words(data[off[a] : off[b]], off[a : b + 1] - off[a], ALNUM_TABLE)
-            made: dict[int, tuple] = {}
-            for (width, size), templates in self.classes.items():
-                if width not in made:
-                    made[width] = _shingles(h, per, width)
-                s, so = made[width]
+            for width, sizes in self.classes.items():
+                s, so = _shingles(h, per, width)
                 if not len(s):
                     continue
-                # windows of shingles: a text shorter than a window is one window
-                length, step = max(1, size * 3 // 2 - width + 1), max(1, size // 2)
                 n = np.diff(so)
-                count = np.where(n > 0, np.maximum(1, -(-(n - length) // step) + 1), 0)
-                row = np.repeat(np.arange(len(n)), count)
-                at = so[row] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
-                end = np.minimum(at + length, so[row + 1])
-                bounds = np.column_stack([at, end]).ravel()
+                cut = {size: self._windows(n, so, size, width) for size in sizes}
+                hits = {size: np.zeros((len(t), len(cut[size][0])), bool) for size, t in sizes.items()}
                 padded = np.append(s, np.uint64(0))
-                hit = np.zeros((len(templates), len(at)), bool)
-                for i in range(len(self.xor)):
+                for i in range(len(self.xor)):  # hashes of a band serve all lengths
                     v = (padded ^ self.xor[i]) * self.mul[i]
                     v[-1] = np.uint64(0xFFFFFFFFFFFFFFFF)
-                    least = np.minimum.reduceat(v, bounds)[::2]
-                    for t, (_, _, m) in enumerate(templates):
-                        hit[t] |= least == m[i]
-                for t, w in zip(*np.nonzero(hit)):
-                    name, want, _ = templates[t]
-                    have = s[at[w] : end[w]]
-                    share = float(np.isin(want, have).mean())
-                    if share >= self.containment:
-                        inside = np.flatnonzero(np.isin(have, want))
-                        first = int(at[w] - so[row[w]] + inside[0])
-                        last = int(at[w] - so[row[w]] + inside[-1] + width)
-                        out[a + row[w]].append((name, first, last, share))
+                    for size, templates in sizes.items():
+                        least = np.minimum.reduceat(v, cut[size][3])[::2]
+                        for t, (_, _, m) in enumerate(templates):
+                            hits[size][t] |= least == m[i]
+                for size, templates in sizes.items():
+                    row, at, end, _ = cut[size]
+                    for t, w in zip(*np.nonzero(hits[size])):
+                        name, want, _ = templates[t]
+                        have = s[at[w] : end[w]]
+                        share = float(np.isin(want, have).mean())
+                        if share >= self.containment:
+                            inside = np.flatnonzero(np.isin(have, want))
+                            first = int(at[w] - so[row[w]] + inside[0])
+                            last = int(at[w] - so[row[w]] + inside[-1] + width)
+                            out[a + row[w]].append((name, first, last, share))
         return [_joined(m) for m in out]
 
+    @staticmethod
+    def _windows(n: np.ndarray, so: np.ndarray, size: int, width: int):
+        """(row, first shingle, shingle after, both in turn) of the windows for templates of `size` words; a shorter text is one window."""
+        length, step = length_of(size, width), max(1, size // 2)
+        count = np.where(n > 0, np.maximum(1, -(-(n - length) // step) + 1), 0)
+        row = np.repeat(np.arange(len(n)), count)
+        at = so[row] + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)) * step
+        end = np.minimum(at + length, so[row + 1])
+        return row, at, end, np.column_stack([at, end]).ravel()
+
+
+def length_of(size: int, width: int) -> int:
+    """Shingles of a window for templates of `size` words."""
+    return max(1, size * 3 // 2 - width + 1)
+
+
+def miss(words_: int, shingles: int, bands: int = BANDS, containment: float = CONTAINMENT) -> float:
+    """Greatest probability that no band retrieves a window that holds the asked share of a template."""
+    from math import ceil
+
+    held = ceil(containment * shingles - 1e-9)
+    return (1 - held / (length_of(words_, min(SHINGLE, words_)) + shingles - held)) ** bands
+
 
 def _joined(matches: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
     """Overlapping matches of one license are one."""
