@@ -6,7 +6,8 @@ linear predictors, and checks the sample count and MD5 of the stream header.
 It reads constant, verbatim, fixed and LPC subframes, partitioned and escaped
 residuals, wasted bits and the stereo modes; damage raises ValueError.  The encoder
 writes mono 8-bit frames with fixed predictors up to the order asked for (4 at most), or LPC, and one seek point
-per frame.
+per frame.  `read_blocks` gives the PCM blocks with their sample offsets; `read_ranges` goes by the seek table and decodes
+only the frames that hold the asked samples.
 
 Defined cases: null bytes count as empty; an empty payload is a stream without
 frames; equal payloads give equal streams whatever batch they stand in.
@@ -426,10 +427,23 @@ def decode(streams: list[bytes]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]
 
 def _decode_piece(streams: list[bytes]):
     parsed = [parse(s) for s in streams]
+    out = []
+    for (head, frames), parts in zip(parsed, _decode_frames(streams, [f for _, f in parsed])):
+        x = np.concatenate(parts, axis=1) if parts else np.zeros((head["channels"], 0), np.int64)
+        if head["samples"] and x.shape[1] != head["samples"]:
+            raise ValueError("wrong number of samples")
+        if any(head["md5"]) and hashlib.md5(pcm(x, head["depth"])).digest() != head["md5"]:
+            raise ValueError("MD5 does not hold")
+        out.append((head, x, np.cumsum([0] + [f[3] for f in frames])[:-1] if frames else np.zeros(0, np.int64)))
+    return out
+
+
+def _decode_frames(streams: list[bytes], of: list[list]) -> list[list[np.ndarray]]:
+    """Samples [channel, n] of the given frames of every stream."""
     shift = np.cumsum([0] + [len(s) for s in streams])
-    made: list[list[np.ndarray | None]] = [[None] * len(f) for _, f in parsed]
+    made: list[list[np.ndarray | None]] = [[None] * len(f) for f in of]
     quick = []  # (stream, frame, body bit, samples, order, k, warm-up, coefficients, shift)
-    for i, ((_, frames), s) in enumerate(zip(parsed, streams)):
+    for i, (frames, s) in enumerate(zip(of, streams)):
         for j, (_, body, end, n, channels, depth) in enumerate(frames):
             kind = s[body]
             if channels == 0 and depth == 8 and not kind & 1:
@@ -451,40 +465,85 @@ def _decode_piece(streams: list[bytes]):
                         bit += b.at
                     word = int.from_bytes(s[bit >> 3 : (bit >> 3) + 3], "big") >> (14 - (bit & 7)) & 0x3FF
                     if word >> 4 == 0 and word & 15 != 15:  # 4-bit parameters, one partition, not escaped
-                        quick.append((i, j, 8 * int(shift[i]) + bit + 10, n, order, word & 15, warm, coef, sh))
+                        quick.append((i, j, 8 * int(shift[i]) + bit + 10, n, order, word & 15, warm, coef, sh, int(shift[i]) + end))
                         continue
             made[i][j] = _frame(s[body:end], n, channels, depth)
-    if quick:
-        quick.sort(key=lambda q: q[4] - q[3])
-        count = np.array([q[3] - q[4] for q in quick])
-        u = _in_step(np.frombuffer(b"".join(streams), np.uint8), np.array([q[2] for q in quick]), count, np.array([q[5] for q in quick]))
-        r = (u >> 1) ^ -(u & 1)
-        orders = np.array([q[4] if q[7] is None else -1 for q in quick])
-        for o in range(5):
-            at = np.flatnonzero(orders == o)
-            if len(at):
-                x = r[:, at].astype(np.int64)
-                warm = np.array([quick[k][6] for k in at], np.int64).reshape(len(at), o)
-                for level in range(o - 1, -1, -1):  # undo one difference after the other
-                    x = np.cumsum(x, axis=0) + np.diff(warm, n=level, axis=1)[:, -1]
-                for c, k in enumerate(at):
-                    i, j, _, n = quick[k][:4]
-                    made[i][j] = np.concatenate([warm[c], x[: n - o, c]])[None].astype(np.int32)
-        for k in np.flatnonzero(orders < 0):
-            i, j, _, n, order, _, warm, coef, sh = quick[k]
-            x = list(warm)
-            for e in r[: n - order, k].tolist():
-                x.append(e + (sum(c * x[-1 - m] for m, c in enumerate(coef)) >> sh))
-            made[i][j] = np.array(x)[None]
-    out = []
-    for (head, frames), parts in zip(parsed, made):
-        x = np.concatenate(parts, axis=1) if parts else np.zeros((head["channels"], 0), np.int64)
-        if head["samples"] and x.shape[1] != head["samples"]:
-            raise ValueError("wrong number of samples")
-        if any(head["md5"]) and hashlib.md5(pcm(x, head["depth"])).digest() != head["md5"]:
-            raise ValueError("MD5 does not hold")
-        out.append((head, x, np.cumsum([0] + [f[3] for f in frames])[:-1] if frames else np.zeros(0, np.int64)))
-    return out
+    # frames lie in order; so many at a time that their bits, unpacked, stay small however long a stream is
+    at, whole = 0, b"".join(streams) if quick else b""
+    while at < len(quick):
+        to, low = at, quick[at][2] >> 3
+        while to < len(quick) and (to == at or quick[to][9] - low <= PIECE):
+            to += 1
+        _undo(whole, quick[at:to], low, made)
+        at = to
+    return made
+
+
+def _undo(whole: bytes, quick: list[tuple], low: int, made: list[list]) -> None:
+    """Decodes the frames and runs their predictors; bytes before `low` are not theirs."""
+    high = max(q[9] for q in quick)
+    quick = sorted(quick, key=lambda q: q[4] - q[3])
+    count = np.array([q[3] - q[4] for q in quick])
+    u = _in_step(np.frombuffer(whole, np.uint8, high - low, low), np.array([q[2] - 8 * low for q in quick]), count, np.array([q[5] for q in quick]))
+    r = (u >> 1) ^ -(u & 1)
+    orders = np.array([q[4] if q[7] is None else -1 for q in quick])
+    for o in range(5):
+        at = np.flatnonzero(orders == o)
+        if len(at):
+            x = r[:, at].astype(np.int64)
+            warm = np.array([quick[k][6] for k in at], np.int64).reshape(len(at), o)
+            for level in range(o - 1, -1, -1):  # undo one difference after the other
+                x = np.cumsum(x, axis=0) + np.diff(warm, n=level, axis=1)[:, -1]
+            for c, k in enumerate(at):
+                i, j, _, n = quick[k][:4]
+                made[i][j] = np.concatenate([warm[c], x[: n - o, c]])[None].astype(np.int32)
+    for k in np.flatnonzero(orders < 0):
+        i, j, _, n, order, _, warm, coef, sh, _ = quick[k]
+        x = list(warm)
+        for e in r[: n - order, k].tolist():
+            x.append(e + (sum(c * x[-1 - m] for m, c in enumerate(coef)) >> sh))
+        made[i][j] = np.array(x)[None]
+
+
+def seek_table(stream: bytes) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """(samples, first frame's byte, [(first sample, byte after the first frame's, samples)]) of a stream."""
+    if stream[:4] != b"fLaC":
+        raise ValueError("not a FLAC stream")
+    at, last, samples, points = 4, False, 0, []
+    while not last:
+        last, kind, n = stream[at] >> 7, stream[at] & 127, int.from_bytes(stream[at + 1 : at + 4], "big")
+        if kind == 0:
+            samples = int.from_bytes(stream[at + 14 : at + 22], "big") & (1 << 36) - 1
+        elif kind == 3:
+            points = [p for p in struct.iter_unpack(">QQH", stream[at + 4 : at + 4 + n]) if p[0] != (1 << 64) - 1]
+        at += 4 + n
+    return samples, at, points
+
+
+def read_ranges(streams: list[bytes], first: list[int], last: list[int]) -> list[np.ndarray]:
+    """Samples [channel, first:last] of every stream, from the frames that the seek table names and no others.
+
+    A negative `first` counts from the end.  Every frame's checksum is verified; streams need a seek point per frame.
+    """
+    frames, spans = [], []
+    for s, a, b in zip(streams, first, last):
+        total, base, points = seek_table(s)
+        a, b = max(0, a + total if a < 0 else a), min(b, total)
+        mine, skip = [], 0
+        for k, (sample, offset, n) in enumerate(points):
+            if sample < b and sample + n > a:
+                start, end = base + offset, base + points[k + 1][1] if k + 1 < len(points) else len(s)
+                head = _frame_header(s, start)
+                if head is None or head[2] != n or not _crc_ok(np.frombuffer(s, np.uint8), start, end - 2, int.from_bytes(s[end - 2 : end], "big")):
+                    raise ValueError("no sound frame where the seek table points")
+                mine.append([start, head[0], end - 2, n, head[3], _DEPTHS.get(head[4], 8)])
+                skip = skip if len(mine) > 1 else a - sample
+        if sum(f[3] for f in mine) < b - a:
+            raise ValueError("the seek table does not cover the samples")
+        frames.append(mine)
+        spans.append((skip, max(0, b - a)))
+    made = _decode_frames(streams, frames)
+    return [np.concatenate(parts, axis=1)[:, k : k + n] if parts else np.zeros((1, 0), np.int64) for parts, (k, n) in zip(made, spans)]
 
 
 def pcm(x: np.ndarray, depth: int) -> bytes:
@@ -540,7 +599,7 @@ def features(x: np.ndarray) -> str:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Stores every text and reads the stored bytes back."""
+    """Stores every text and reads the stored bytes back, whole and, for the tail, by the seek table."""
     media = store_text(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,13 +608,15 @@ def digest(docs: DataFrame) -> DataFrame:
                 batch = big.slice(at, ROWS)
                 stored = batch.column("media").to_pylist()
                 rows = []
-                for s, (_, x, _) in zip(stored, decode(stored)):
+                tails = read_ranges(stored, [-64] * len(stored), [1 << 40] * len(stored))
+                for s, tail, (_, x, first) in zip(stored, tails, decode(stored)):
                     back = (x[0] + 128).astype(np.uint8).tobytes()
-                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(s), hashlib.sha256(s).hexdigest(), features(x[0])))
-                cols = list(zip(*rows)) if rows else [[]] * 6
-                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                    end = (tail[0] + 128).astype(np.uint8).tobytes()
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(end), len(s), hashlib.sha256(s).hexdigest(), features(x[0]), first.tolist()))
+                cols = list(zip(*rows)) if rows else [[]] * 7
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "block_starts"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(cols, types)]], names=["doc_id", "n_bytes", *names])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, block_starts array<long>")

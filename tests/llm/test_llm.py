@@ -547,6 +547,29 @@ def test_flac_round_trips_and_checks():
             list(flac.decode([bytes(bad)]))
 
 
+def test_flac_reads_ranges_by_the_seek_table(monkeypatch):
+    rng = random.Random(4)
+    payloads = [b"", bytes(64), bytes(rng.randrange(256) for _ in range(9000)), bytes(rng.choices(b"etaoin shrdlu", k=700_000)), b"x" * 1025]
+    streams = flac.encode(payloads)
+    for a, b in ((0, 10), (1000, 1030), (-64, 1 << 40), (2047, 2049), (5000, 5000)):
+        for p, x in zip(payloads, flac.read_ranges(streams, [a] * 5, [b] * 5)):
+            low = max(0, a + len(p)) if a < 0 else a
+            assert (x[0] + 128).astype(np.uint8).tobytes() == p[low:b]
+    decoded = []
+    monkeypatch.setattr(flac, "PIECE", 1 << 17)
+    monkeypatch.setattr(flac, "_undo", lambda w, q, low, made, of=flac._undo: (decoded.append(len(q)), of(w, q, low, made)))
+    flac.read_ranges(streams[3:4], [-64], [1 << 40])
+    assert sum(decoded) == 1  # of 684 frames
+    list(flac.decode(streams[3:4]))
+    assert len(decoded) > 1 and sum(decoded) == 685  # a long stream goes a piece at a time
+    _, base, points = flac.seek_table(streams[3])
+    bad = bytearray(streams[3])
+    bad[base + points[-1][1] + 40] ^= 1
+    with pytest.raises(ValueError):
+        flac.read_ranges([bytes(bad)], [-64], [1 << 40])
+    assert flac.read_ranges([bytes(bad)], [0], [64])[0].shape == (1, 64)
+
+
 def test_flac_plain_reader_agrees():
     """The rare-frame reader decodes the same frames as the one that works in step."""
     p = bytes(random.Random(5).choices(b"etaoin shrdlu", k=2500))
