@@ -5,7 +5,8 @@ Feistel network moves every character within its own alphabet (script, case, dig
 the map is a permutation of each format: equal entities stay equal in the whole corpus
 (coreference) and different ones stay different (distinctness).  Numbers keep their first digit and
 whether their Luhn check digit holds; addresses stay valid addresses; mail domains keep
-their last label and "example"; given names after a title move within a list of their gender.
+their last label and "example"; listed given names after a title move within the list of their gender, other names
+keep script, case and the places of vowels.  Names without a title are not detected.
 
 The collision check looks up all surrogates among all entities of the corpus:
 a surrogate that is itself somebody's entity, or that two entities share, is drawn again with the next
@@ -41,6 +42,11 @@ ALPHABETS = [
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 ]
+#: Of names, so that surrogates can be said: vowels move among vowels.
+SPOKEN = [
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áéíóú", "àèìòù", "äöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчшщ",
+    "АЕИОУЭЮЯ", "БВГДЖЗКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+]
 HEX, UPPER_HEX, MIXED_HEX = ["0123456789abcdef"], ["0123456789ABCDEF"], ["0123456789", "abcdef", "ABCDEF"]
 #: Given names by gender; a name moves within its list.
 MALE = ["Adam", "Bernd", "Carlos", "David", "Emil", "François", "George", "Hans", "Ivan", "James", "Juan", "Karl", "Louis", "Michael", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William"]
@@ -181,7 +187,7 @@ def _mail(e: Column, key: Column) -> Column:
 
 def _name(e: Column, key: Column, listed_names: bool = True) -> Column:
     def word(w: Column) -> Column:
-        out = feistel(w, key, F.lit("name"))
+        out = feistel(w, key, F.lit("name"), SPOKEN)
         for names in (MALE, FEMALE) if listed_names else ():
             listed = F.array(*[F.lit(n) for n in names])
             at = F.array_position(listed, w)
