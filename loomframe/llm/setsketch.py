@@ -353,15 +353,14 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int
     sizes = cut(whole.groupBy("root").agg(F.count(F.lit(1)).alias("size")))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
 
-    def sets(of: DataFrame) -> DataFrame:
-        """node, root and shingles of the documents that are nodes of(node, root)."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                made = [values[off[i] : off[i + 1]].tobytes() for _, _, values, off in sets_of(batch.column("text"), width) for i in range(len(off) - 1)]
-                yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(made, pa.binary())], names=["node", "root", "shingles"])
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [values[off[i] : off[i + 1]].tobytes() for _, _, values, off in sets_of(batch.column("text"), width) for i in range(len(off) - 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), batch.column("size"), pa.array(made, pa.binary())], names=["node", "root", "size", "shingles"])
 
-        return texts.join(of, "node").select("node", "root", "text").mapInArrow(run, f"node {kind}, root {kind}, shingles binary")
+    # texts are shuffled once; the sets of group members serve small and large groups
+    sets = texts.join(whole.join(sizes, "root"), "node").select("node", "root", "size", "text")
+    sets = cut(sets.mapInArrow(to_sets, f"node {kind}, root {kind}, size long, shingles binary").where(F.length("shingles") > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _grouped(batches, "root"):
@@ -377,7 +376,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["node", "root"])
 
-    small = sets(whole.join(sizes.where(F.col("size") <= 2 * block).select("root"), "root").select("node", "root"))
+    small = sets.where(F.col("size") <= 2 * block).select("node", "root", "shingles")
     roots = small.repartition("root").sortWithinPartitions("root", "node").mapInArrow(run, f"node {kind}, root {kind}").where("node != root").groupBy("node").agg(F.min("root").alias("root"))
     large = sizes.where(F.col("size") > 2 * block)
     if large.isEmpty():
@@ -396,7 +395,7 @@ def confirmed(docs: DataFrame, groups: DataFrame, width: int, num: int, den: int
         return out
 
     hashed = whole.join(large, "root").select(F.xxhash64(F.lit("group"), "root").alias("key"), "node", "size", "root")
-    links = _by_heads(hashed.drop("root"), sets(hashed.select("node", "root")).where(F.length("shingles") > 0).select("node", "shingles"), linked, block)
+    links = _by_heads(hashed.drop("root"), sets.where(F.col("size") > 2 * block).select("node", "shingles"), linked, block)
     return roots.unionByName(components(links))
 
 
