@@ -1,4 +1,7 @@
-"""Token-array expressions: row-local maths over ARRAY columns, all JVM-side, without any shuffle.
+"""Token-array expressions: row-local maths over ARRAY columns, without any shuffle.
+
+Sums, masks and distributions are built-in functions; scans along the tokens, for which those would copy the growing array at
+every token, are Arrow functions over whole batches.
 
 Masks are 0/1 arrays of the same length as the values.  Empty arrays give 0 (sums),
 0 (means, by their epsilon) or null (variances).
@@ -6,6 +9,8 @@ Masks are 0/1 arrays of the same length as the values.  Empty arrays give 0 (sum
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,44 +61,78 @@ def _lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
+# ---- scans along the tokens: one Arrow pass over all rows of a batch, linear in their tokens
+
+
+def _scan(out: str, step, *columns) -> Column:
+    """A column made by step(offsets, *values) from array columns of equal lengths; null where any of them is."""
+
+    @F.arrow_udf(f"array<{out}>")
+    def run(*arrays: pa.Array) -> pa.Array:
+        some = np.logical_and.reduce([a.is_valid().to_numpy(zero_copy_only=False) for a in arrays])
+        lists = [a if some.all() else a.filter(pa.array(some)) for a in arrays]
+        sizes = lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        for x in lists[1:]:
+            if not (x.value_lengths().to_numpy(zero_copy_only=False) == sizes).all():
+                raise ValueError("arrays of a row differ in length")
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        values = [x.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False) for x in lists]
+        flat = step(off, *values)
+        bounds = np.concatenate([[0], np.cumsum(np.where(some, np.diff(off)[np.maximum(np.cumsum(some) - 1, 0)] if len(sizes) else 0, 0))])
+        kind = pa.float64() if out == "double" else pa.int32()
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat).cast(kind), mask=None if some.all() else pa.array(~some))
+
+    return run(*[_c(c) for c in columns])
+
+
+def _steps(off: np.ndarray):
+    """Positions of the last tokens of all rows, of those before them, and so on, with the rows; longest rows first."""
+    size = np.diff(off)
+    order = np.argsort(-size, kind="stable")
+    end, size = off[1:][order], size[order]
+    open_ = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
+    for i, n in enumerate(open_):
+        yield end[:n] - 1 - i, n
+
+
 def running(v, reverse: bool = False) -> Column:
     """Prefix sums, or suffix sums."""
-    a = F.reverse(_c(v)) if reverse else _c(v)
-    out = F.aggregate(
-        a,
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["out"], acc["s"] + x).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.reverse(out) if reverse else out
+
+    def step(off: np.ndarray, x: np.ndarray) -> np.ndarray:
+        out = np.empty_like(x)
+        for a, b in zip(off[:-1], off[1:]):
+            out[a:b] = np.cumsum(x[a:b][::-1])[::-1] if reverse else np.cumsum(x[a:b])
+        return out
+
+    return _scan("double", step, v)
 
 
 def discounted_return(r, m, gamma: float) -> Column:
     """Reverse discounted returns; the running value is multiplied by the mask after every token."""
-    z = F.reverse(F.arrays_zip(_c(r).alias("r"), _c(m).alias("m")))
-    out = F.aggregate(
-        z,
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda a, x: F.struct(((x["r"] + gamma * a["s"]) * x["m"]).alias("s"), F.array_append(a["out"], x["r"] + gamma * a["s"]).alias("out")),
-        lambda a: a["out"],
-    )
-    return F.reverse(out)
+
+    def step(off: np.ndarray, r: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out, later = np.empty_like(r), np.zeros(len(off) - 1)
+        for at, n in _steps(off):
+            out[at] = r[at] + gamma * later[:n]
+            later[:n] = out[at] * m[at]
+        return out
+
+    return _scan("double", step, r, m)
 
 
 def gae(r, v, m, gamma: float, lam: float) -> Column:
     """Generalised advantages before whitening; masked tokens carry both the next value and the last advantage."""
-    z = F.reverse(F.arrays_zip(_c(r).alias("r"), _c(v).alias("v"), _c(m).alias("m")))
 
-    def step(a, x):
-        g = x["r"] + gamma * a["nv"] - x["v"] + gamma * lam * a["g"]
-        return F.struct(
-            F.when(x["m"] != 0, x["v"]).otherwise(a["nv"]).alias("nv"),
-            F.when(x["m"] != 0, g).otherwise(a["g"]).alias("g"),
-            F.array_append(a["out"], F.when(x["m"] != 0, g).otherwise(a["g"])).alias("out"),
-        )
+    def step(off: np.ndarray, r: np.ndarray, v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out, value, last = np.empty_like(r), np.zeros(len(off) - 1), np.zeros(len(off) - 1)
+        for at, n in _steps(off):
+            on = m[at] != 0
+            fresh = r[at] + gamma * value[:n] - v[at] + gamma * lam * last[:n]
+            value[:n] = np.where(on, v[at], value[:n])
+            last[:n] = out[at] = np.where(on, fresh, last[:n])
+        return out
 
-    start = F.struct(F.lit(0.0).alias("nv"), F.lit(0.0).alias("g"), F.array().cast("array<double>").alias("out"))
-    return F.reverse(F.aggregate(z, start, step, lambda a: a["out"]))
+    return _scan("double", step, r, v, m)
 
 
 # ---- padding, truncation, masks
@@ -144,7 +183,12 @@ def eos_mask(ids, eos) -> Column:
 
 def position_ids(m) -> Column:
     """Running count of the mask less one, at least 0."""
-    return F.transform(running(m), lambda x: F.greatest(x.cast("int") - 1, F.lit(0)))
+
+    def step(off: np.ndarray, m: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0.0], np.cumsum(m)])
+        return np.maximum(upto[1:] - np.repeat(upto[off[:-1]], np.diff(off)) - 1, 0)
+
+    return _scan("int", step, m)
 
 
 def place_last(mask, score) -> Column:
