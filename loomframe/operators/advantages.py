@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as A
+from .batch import number_rows, running_total
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -56,7 +57,7 @@ def _std() -> Column:
 
 def group_ids(df: DataFrame, label: str = "uid") -> DataFrame:
     """Adds gid, 0..G-1 in label order, by a join with the distinct labels."""
-    labels = df.select(label).distinct().withColumn("gid", F.dense_rank().over(Window.orderBy(label)) - 1)
+    labels = number_rows(df.select(label).distinct(), [label], name="gid").withColumn("gid", F.col("gid").cast("int"))
     return df.join(labels, label)
 
 
@@ -245,9 +246,8 @@ def resample_weights(score: Column, method: str = "pow", power: float = 2.0) ->
 
 def resampled(df: DataFrame, weight: str, n: int, seed: int = 0) -> DataFrame:
     """n draws with replacement by weight: draws meet the weights' running sums in a range join on sorted slices."""
-    order = Window.orderBy("row_idx")
     total = df.agg(F.sum(weight).alias("_all"))
-    spans = df.withColumn("_to", F.sum(weight).over(order)).withColumn("_from", F.col("_to") - F.col(weight))
+    spans = running_total(df, ["row_idx"], weight, "_to").withColumn("_from", F.col("_to") - F.col(weight))
     draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("_u", (F.pmod(F.xxhash64("draw", F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)))
     draws = draws.crossJoin(F.broadcast(total)).withColumn("_x", F.col("_u") * F.col("_all"))
     # both sides fall into cells of equal weight; a span covers the cells it touches

@@ -34,6 +34,23 @@ def number_rows(df: DataFrame, order: list, start: int = 0, name: str = ROW) ->
     return d.withColumn(name, (F.create_map(*bases)[F.col("_pid")] + local).cast("long")).drop("_pid", "_mid")
 
 
+def running_total(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
+    """Adds the running sum of `value` by an order that tells all rows apart, itself included.
+
+    Range partitions are summed, and each starts from the sum of those before it: no task sees all rows.
+    """
+    d = df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()).persist()
+    sums = {r["_pid"]: r["s"] for r in d.groupBy("_pid").agg(F.sum(value).alias("s")).collect()}  # one row a partition
+    bases, at = [], 0
+    for pid in sorted(sums):
+        bases += [F.lit(pid), F.lit(at)]
+        at += sums[pid]
+    if not bases:
+        return df.withColumn(name, F.col(value))
+    within = F.sum(value).over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn(name, F.create_map(*bases)[F.col("_pid")] + within).drop("_pid")
+
+
 def project(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(ROW, *cols)
 
@@ -170,18 +187,19 @@ def unpad(df: DataFrame, pad: int, n: int) -> DataFrame:
     return df.where(F.col(ROW) < n - pad) if pad else df
 
 
-def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, n: int | None = None) -> DataFrame:
-    """epoch, batch and place of every row; keyed shuffles by epoch if a seed is given."""
+def mini_batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, n: int | None = None, drop_last: bool = False) -> DataFrame:
+    """epoch, batch and place of every row; keyed shuffles by epoch if a seed is given; `drop_last` leaves an unfinished batch out."""
     n = df.count() if n is None else n
-    if n % size:
+    if n % size and not drop_last:
         raise ValueError(f"{n} rows do not divide into batches of {size}")
     d = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
     if seed is not None:
-        order = [F.xxhash64(F.lit(seed), "epoch", ROW), F.col(ROW)]
-        d = d.withColumn("place", F.row_number().over(Window.partitionBy("epoch").orderBy(*order)) - 1)
+        # positions over all epochs, less the rows of the epochs before
+        d = number_rows(d.withColumn("_h", F.xxhash64(F.lit(seed), "epoch", ROW)), ["epoch", "_h", ROW], name="place").drop("_h")
+        d = d.withColumn("place", F.col("place") - F.col("epoch") * F.lit(n))
     else:
         d = d.withColumn("place", F.col(ROW))
-    return d.withColumn("batch", F.floor(F.col("place") / size).cast("int"))
+    return d.withColumn("batch", F.floor(F.col("place") / size).cast("int")).where(F.col("place") < n // size * size)
 
 
 def equal_batches(a: DataFrame, b: DataFrame) -> bool:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .batch import number_rows
+from .selection import first_rows
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -217,8 +219,8 @@ def covariances(df: DataFrame, key: str = "row_idx") -> DataFrame:
 def kl_cov(df: DataFrame, ratio: float = 0.0002, coef: float = 1.0, key: str = "row_idx") -> DataFrame:
     """One row: token mean of -A r, plus coef |log ratio| on the share of tokens of greatest covariance (ties: key, t)."""
     cov = covariances(df, key)
-    n = cov.agg(F.max("n")).first()[0] or 0
-    top = cov.orderBy(F.desc("cov"), key, "t").limit(max(1, int(n * ratio))).select(key, "t", F.lit(1).alias("_top"))
+    n = _means(df).first()["_n"]
+    top = first_rows(cov.select(key, "t", "cov"), max(1, int(n * ratio)), F.desc("cov"), key, "t").select(key, "t", F.lit(1).alias("_top"))
     d = F.col("l") - F.col("o")
     all_ = cov.join(top, [key, "t"], "left")
     return all_.agg(F.avg(-F.col("a") * F.exp(d) + F.when(F.col("_top") == 1, coef * F.abs(d)).otherwise(0.0)).alias("loss"), F.sum("_top").alias("n_top"))
@@ -229,9 +231,10 @@ def clip_cov(df: DataFrame, ratio: float = 0.0002, lower: float = 1.0, upper: fl
     cov = covariances(df, key)
     r = F.exp(F.col("l") - F.col("o"))
     one, two = -F.col("a") * r, -F.col("a") * A.clipped(r, 1 - low, 1 + high)
-    n = cov.agg(F.max("n")).first()[0] or 0
+    n = _means(df).first()["_n"]
     open_ = cov.where((F.col("cov") > lower) & (F.col("cov") < upper) & ~(two > one))
-    out = open_.orderBy(F.xxhash64(key, "t", F.lit(seed)), key, "t").limit(max(int(ratio * n), 1)).select(key, "t", F.lit(0.0).alias("_keep"))
+    hashed = open_.select(key, "t", F.xxhash64(key, "t", F.lit(seed)).alias("_h"))
+    out = first_rows(hashed, max(int(ratio * n), 1), "_h", key, "t").select(key, "t", F.lit(0.0).alias("_keep"))
     all_ = cov.join(out, [key, "t"], "left").withColumn("_keep", F.coalesce("_keep", F.lit(1.0)))
     return all_.agg(F.avg(F.greatest(one, two) * F.col("_keep")).alias("loss"), F.avg(1 - F.col("_keep")).alias("clip_fraction"))
 
@@ -256,12 +259,10 @@ def sft_loss(df: DataFrame, dp_size: int = 1, batch_tokens: float | None = None,
     """
     mask = F.col("mask")
     if rolled:
-        from pyspark.sql.window import Window
-
-        w = Window.orderBy("row_idx")
-        heads = df.where(F.size("mask") > 0).select("row_idx", F.element_at("mask", 1).alias("_head"))
-        first = F.first("_head").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-        heads = heads.withColumn("_next", F.coalesce(F.lead("_head").over(w), first)).drop("_head")
+        heads = number_rows(df.where(F.size("mask") > 0).select("row_idx", F.element_at("mask", 1).alias("_head")), ["row_idx"], name="_at")
+        n = heads.agg(F.count(F.lit(1)).alias("_n"))
+        ahead = heads.crossJoin(F.broadcast(n)).select(((F.col("_at") + F.col("_n") - 1) % F.col("_n")).alias("_at"), F.col("_head").alias("_next"))
+        heads = heads.join(ahead, "_at").select("row_idx", "_next")
         df = df.join(heads, "row_idx")
         mask = F.concat(F.slice("mask", 2, F.size("mask") - 1), F.array("_next"))
     n = F.lit(float(batch_tokens)) if batch_tokens is not None else F.sum(A.count_mask("mask"))

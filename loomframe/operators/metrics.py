@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as A
+from .batch import running_total
 
 
 def response_info(df: DataFrame) -> DataFrame:
@@ -115,14 +116,59 @@ def sample_metrics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return g.select(*keys, "n", "mean", "std", "k", extremes(F.col("_v"), F.col("k")).alias("best"), extremes(F.col("_v"), F.col("k"), False).alias("worst"))
 
 
-def validation(df: DataFrame, source: str, uid: str, value: str) -> DataFrame:
-    """source, name, value: per-prompt metrics averaged over prompts, named mean@n, std@n, best@k, worst@k."""
+def validation(df: DataFrame, source: str, uid: str, value: str, vote: str | None = None, pos: str | None = None) -> DataFrame:
+    """source, name, value: per-prompt metrics averaged over prompts, named mean@n, std@n, best@k, worst@k, and maj@k if votes are given."""
+    return averaged(prompt_metrics(df, source, uid, value, vote, pos), source)
+
+
+def averaged(partial: DataFrame, source: str) -> DataFrame:
+    """Averages over prompts from (source, uid, name, v); partial tables of different prompts may be united before."""
+    return partial.groupBy(source, "name").agg(F.avg("v").alias("value"))
+
+
+def prompt_metrics(df: DataFrame, source: str, uid: str, value: str, vote: str | None = None, pos: str | None = None) -> DataFrame:
+    """source, uid, name, v of every prompt."""
     m = sample_metrics(df, [source, uid], value)
     one = m.groupBy(source, uid).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"))
     at = lambda name, k: F.concat(F.lit(name + "@"), k.cast("string"))
-    rows = one.select(source, F.explode(F.array(F.struct(at("mean", F.col("n")).alias("name"), F.col("mean").alias("v")), F.struct(at("std", F.col("n")).alias("name"), F.when(F.col("n") > 1, F.col("std")).alias("v")))).alias("x"))
-    more = m.where("k is not null").select(source, F.explode(F.array(F.struct(at("best", F.col("k")).alias("name"), F.col("best").alias("v")), F.struct(at("worst", F.col("k")).alias("name"), F.col("worst").alias("v")))).alias("x"))
-    return rows.unionByName(more).where("x.v is not null").groupBy(source, F.col("x.name").alias("name")).agg(F.avg("x.v").alias("value"))
+    rows = one.select(source, uid, F.explode(F.array(F.struct(at("mean", F.col("n")).alias("name"), F.col("mean").alias("v")), F.struct(at("std", F.col("n")).alias("name"), F.when(F.col("n") > 1, F.col("std")).alias("v")))).alias("x"))
+    more = m.where("k is not null").select(source, uid, F.explode(F.array(F.struct(at("best", F.col("k")).alias("name"), F.col("best").alias("v")), F.struct(at("worst", F.col("k")).alias("name"), F.col("worst").alias("v")))).alias("x"))
+    out = rows.unionByName(more).where("x.v is not null").select(source, uid, "x.name", "x.v")
+    if vote is None:
+        return out
+    maj = majority_of_k(df, [source, uid], vote, value, pos)
+    return out.unionByName(maj.select(source, uid, at("maj", F.col("k")).alias("name"), F.col("maj_mean").alias("v")))
+
+
+def majority_of_k(df: DataFrame, keys: list[str], vote: str, value: str, pos: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """keys, k, maj_mean, maj_std: the value of the most frequent vote of k seeded draws with replacement, k of `sizes_for`.
+
+    Ties go to the vote that a draw holds first, and of its votes the first one's value counts.  A group is one prompt's samples.
+    """
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        pdf = pdf.sort_values(pos)
+        v, codes = pdf[value].to_numpy(float), pd.factorize(pdf[vote])[0]
+        n, rows = len(v), []
+        ks = [] if n <= 1 else [2**i for i in range(1, 64) if 2**i < n] + [n]
+        for k in ks:
+            rng = np.random.RandomState(seed)
+            draws = np.stack([rng.choice(n, size=k, replace=True) for _ in range(rounds)])
+            same = codes[draws][:, :, None] == codes[draws][:, None, :]
+            # a place's votes first, then how early its vote first stands
+            best = (same.sum(2) * (k + 1) - same.argmax(2)).argmax(1)
+            got = v[draws[np.arange(rounds), best]]
+            rows.append((k, float(got.mean()), float(got.std())))
+        out = pd.DataFrame(rows, columns=["k", "maj_mean", "maj_std"])
+        for c in keys:
+            out[c] = pdf[c].iloc[0]
+        return out[[*keys, "k", "maj_mean", "maj_std"]]
+
+    schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", k int, maj_mean double, maj_std double"
+    return df.select(*keys, vote, value, pos).groupBy(*keys).applyInPandas(run, schema)
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, pos: str, k: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
@@ -213,10 +259,9 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
     Equal values are ranked together, so the ranks come from a running count over distinct values.
     """
-    per = df.groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy(value))
+    per = running_total(df.groupBy(value).agg(F.count(F.lit(1)).alias("c")), [value], "c", "upto")
     # the ranks upto-c+1 .. upto sum to c (2 upto - c + 1) / 2
-    per = per.select(value, "c", (F.col("c") * (2 * upto - F.col("c") + 1) / 2).alias("ranks"))
+    per = per.select(value, "c", (F.col("c") * (2 * F.col("upto") - F.col("c") + 1) / 2).alias("ranks"))
     return per.agg((2 * F.sum(F.col("ranks") * F.col(value)) / (F.sum("c") * F.sum(F.col("c") * F.col(value))) - (F.sum("c") + 1) / F.sum("c")).alias("gini"))
 
 

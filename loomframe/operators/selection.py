@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import arrays as A
+from .batch import running_total
 
 
 @dataclass
@@ -35,14 +36,30 @@ def key_order(seed: int, *cols: str) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *cols), *[F.col(c) for c in cols]]
 
 
+#: The greatest number of rows that one task may gather for an ordered limit.
+FEW = 10_000
+
+
+def first_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows by an order that tells all rows apart.
+
+    A few come from a bounded limit; a number that grows with the data from positions of a range-partitioned sort, so that no task gathers it.
+    """
+    if n <= FEW:
+        return df.orderBy(*order).limit(max(n, 0))
+    from .batch import number_rows
+
+    return number_rows(df, list(order), name="_place").where(F.col("_place") < n).drop("_place")
+
+
 def random_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    return df.orderBy(*key_order(seed, key)).limit(n)
+    return first_rows(df, n, *key_order(seed, key))
 
 
 def weighted_rows(df: DataFrame, n: int, key: str, weight: str, seed: int = 0) -> DataFrame:
     """Without replacement, by exponential keys -ln(u) / w; rows of weight 0 are never taken."""
     u = (F.pmod(F.xxhash64(F.lit(seed), key), F.lit((1 << 53) - 1)) + 1) / float(1 << 53)
-    return df.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).orderBy("_k", key).limit(n).drop("_k")
+    return df.where(F.col(weight) > 0).withColumn("_k", -F.log(u) / F.col(weight)).transform(lambda d: first_rows(d, n, "_k", key)).drop("_k")
 
 
 # ---- histories of (idx, step, reward)
@@ -139,23 +156,65 @@ def interpolated(neighbours: DataFrame, temperature: float = 0.05) -> DataFrame:
     return neighbours.withColumn("_t", top).groupBy("idx").agg((F.sum(w * F.col("value")) / F.sum(w)).alias("predicted"))
 
 
-def cluster_pairs(items: DataFrame) -> DataFrame:
-    """idx, other, sim for pairs within a cluster, from items(idx, vec, cluster); both orders, self left out."""
-    u = items.select("idx", "cluster", unit("vec").alias("u"))
-    o = u.select(F.col("idx").alias("other"), "cluster", F.col("u").alias("w"))
-    return u.join(o, "cluster").where("idx != other").select("idx", "cluster", "other", dot("u", "w").alias("sim"))
+def knn_density(items: DataFrame, k: int = 10, block: int = 2048) -> DataFrame:
+    """idx, cluster, density: 1 / (mean cosine distance to the k nearest of the cluster + 1e-8); exact.
 
+    A cluster is cut into blocks by hash.  Every block meets all rows of the cluster in a task of its own, which holds the block and
+    streams the rows through it; the k nearest of each block are merged by row.
+    """
+    import numpy as np
+    import pyarrow as pa
 
-def knn_density(items: DataFrame, k: int = 10) -> DataFrame:
-    """idx, density: 1 / (mean cosine distance to the k nearest of the cluster + 1e-8)."""
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("sim"), "other"))
-    near = cluster_pairs(items).withColumn("_r", rank).where(F.col("_r") <= k)
-    return near.groupBy("idx", "cluster").agg((1.0 / (F.avg(1 - F.col("sim")) + 1e-8)).alias("density"))
+    sizes = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    d = items.select("idx", "cluster", "vec").join(sizes, "cluster")
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    here = d.select("idx", "vec", F.xxhash64("cluster", F.pmod(F.xxhash64("idx"), blocks).cast("int")).alias("_g"), F.lit(0).alias("_role"), "cluster")
+    asks = d.select("idx", "vec", F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.xxhash64("cluster", i))).alias("_g"), F.lit(1).alias("_role"), "cluster")
+    rows = here.unionByName(asks).select("_g", "_role", "idx", "cluster", F.transform("vec", lambda x: x.cast("double")).alias("vec")).repartition("_g").sortWithinPartitions("_g", "_role")
+
+    def units(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(batches):
+        g, base, ids = None, None, None
+        for batch in batches:
+            at, role = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.concatenate([[0], np.flatnonzero((at[1:] != at[:-1]) | (role[1:] != role[:-1])) + 1, [len(at)]]) if len(at) else [0]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                part = batch.slice(s, e - s)
+                if at[s] != g:
+                    g, base, ids = at[s], None, None
+                x, mine = units(part.column(4)), part.column(2).to_numpy()
+                if role[s] == 0:
+                    base, ids = (x, mine) if base is None else (np.vstack([base, x]), np.concatenate([ids, mine]))
+                    continue
+                for i in range(0, len(x) if base is not None else 0, 1024):
+                    sim = x[i : i + 1024] @ base.T
+                    sim[mine[i : i + 1024, None] == ids] = -np.inf
+                    top = -np.sort(-sim, axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([part.column(2).slice(i, len(top)), part.column(3).slice(i, len(top)), pa.array([t[t > -np.inf].tolist() for t in top], pa.list_(pa.float64()))], names=["idx", "cluster", "sims"])
+
+    kinds = dict(items.dtypes)
+    near = rows.mapInArrow(run, f"idx {kinds['idx']}, cluster {kinds['cluster']}, sims array<double>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("sims")), asc=False), 1, k)
+    near = near.groupBy("idx", "cluster").agg(best.alias("sims")).where(F.size("sims") > 0)
+    return near.select("idx", "cluster", (1.0 / (A.total(F.transform("sims", lambda x: 1 - x)) / F.size("sims") + 1e-8)).alias("density"))
 
 
 def medoids(items: DataFrame, n: int) -> DataFrame:
-    """The n rows of each cluster with the greatest mean similarity to it; ties by id."""
-    m = cluster_pairs(items).groupBy("cluster", "idx").agg(F.avg("sim").alias("mean_sim"))
+    """The n rows of each cluster with the greatest mean similarity to the rest of it; ties by id.
+
+    The mean is a dot product with the sum of the cluster's unit vectors, so no pairs are made.
+    """
+    u = items.select("idx", "cluster", unit("vec").alias("u"))
+    long = u.select("cluster", F.posexplode("u").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x"))
+    sums = long.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda z: z["x"]).alias("s"))
+    sums = sums.join(u.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n")), "cluster").where("_n > 1")
+    m = u.join(sums, "cluster").select("cluster", "idx", ((dot("u", "s") - dot("u", "u")) / (F.col("_n") - 1)).alias("mean_sim"))
+    # the n best of every slice before the best of all, so that a large cluster is not one task
+    slice_ = Window.partitionBy("cluster", F.pmod(F.xxhash64("idx"), F.lit(256))).orderBy(F.desc("mean_sim"), "idx")
+    m = m.withColumn("rank", F.row_number().over(slice_)).where(F.col("rank") <= n)
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("mean_sim"), "idx"))
     return m.withColumn("rank", rank).where(F.col("rank") <= n)
 
@@ -170,17 +229,17 @@ def centroids(items: DataFrame) -> DataFrame:
 
 def nearest_to_centroid(items: DataFrame, cents: DataFrame, n: int) -> DataFrame:
     """The n rows of each cluster nearest to its centroid."""
-    d = items.join(F.broadcast(cents.select("cluster", "centroid")), "cluster")
+    d = items.join(cents.select("cluster", "centroid"), "cluster")
     d = d.withColumn("distance", F.sqrt(A.total(F.zip_with("vec", "centroid", lambda x, c: (x.cast("double") - c) * (x.cast("double") - c)))))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "idx"))
     return d.withColumn("rank", rank).where(F.col("rank") <= n).select("cluster", "idx", "distance", "rank")
 
 
 def transferability(cents: DataFrame, most: float = 0.9) -> DataFrame:
-    """cluster, transfer: mean centroid cosine, pairs above `most` left out (count of kept pairs below)."""
+    """cluster, transfer: mean centroid cosine, pairs above `most` left out (count of kept pairs below); one row a cluster."""
     u = cents.select("cluster", unit("centroid").alias("u"))
     o = u.select(F.col("cluster").alias("other"), F.col("u").alias("w"))
-    s = u.crossJoin(F.broadcast(o)).where("cluster != other").select("cluster", dot("u", "w").alias("sim"))
+    s = u.join(o, F.col("cluster") != F.col("other")).select("cluster", dot("u", "w").alias("sim"))
     return s.groupBy("cluster").agg(F.coalesce(F.sum(F.when(F.col("sim") <= most, F.col("sim"))) / F.nullif(F.count_if(F.col("sim") <= most), F.lit(0)), F.lit(0.0)).alias("transfer"))
 
 
@@ -239,8 +298,11 @@ def diverse_rows(items: DataFrame, n: int, radius: float = 0.15, alpha: float =
     return items.select("idx", "vec", "cluster", "density").groupBy("cluster").applyInPandas(run, f"cluster {t['cluster']}, idx {t['idx']}, rank int")
 
 
-def mmd_rows(items: DataFrame, n: int, gamma: float = 1.0) -> DataFrame:
-    """cluster, idx, rank: greedy subset that follows the cluster's distribution under an RBF kernel."""
+def mmd_rows(items: DataFrame, n: int, gamma: float = 1.0, rows: int = 2_000) -> DataFrame:
+    """cluster, idx, rank: greedy subset that follows the cluster's distribution under an RBF kernel.
+
+    The kernel matrix is made of at most about `rows` rows of a cluster, drawn by hash, as the operator is defined.
+    """
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -260,7 +322,10 @@ def mmd_rows(items: DataFrame, n: int, gamma: float = 1.0) -> DataFrame:
         return pd.DataFrame({"cluster": pdf["cluster"].iloc[0], "idx": pdf["idx"].to_numpy()[picked], "rank": range(1, len(picked) + 1)})
 
     t = dict(items.dtypes)
-    return items.select("idx", "vec", "cluster").groupBy("cluster").applyInPandas(run, f"cluster {t['cluster']}, idx {t['idx']}, rank int")
+    sizes = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.pmod(F.xxhash64(F.lit("mmd"), "idx"), F.lit(1 << 30)) < F.lit(float(rows << 30)) / F.col("_n")
+    drawn = items.select("idx", "vec", "cluster").join(sizes, "cluster").where(share).drop("_n")
+    return drawn.groupBy("cluster").applyInPandas(run, f"cluster {t['cluster']}, idx {t['idx']}, rank int")
 
 
 def frozen_weights(df: DataFrame, value: str, floor: float = 0.05) -> DataFrame:
@@ -324,9 +389,21 @@ def gram(df: DataFrame, vec: str, target: str, weight: str):
         if a is not None:
             yield pa.RecordBatch.from_arrays([pa.array([a.ravel().tolist()]), pa.array([b.tolist()]), pa.array([n])], names=["a", "b", "n"])
 
-    parts = df.select(vec, F.col(target).cast("double"), F.col(weight).cast("double")).mapInArrow(run, "a array<double>, b array<double>, n long").toLocalIterator()
+    parts = df.select(vec, F.col(target).cast("double"), F.col(weight).cast("double")).mapInArrow(run, "a array<double>, b array<double>, n long")
+
+    def summed(batches):
+        a = b = None
+        n = 0
+        for batch in batches:
+            for x, y, k in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                a, b, n = (x, y, k) if a is None else (np.add(a, x), np.add(b, y), n + k)
+        if a is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([list(a)]), pa.array([list(b)]), pa.array([n])], names=["a", "b", "n"])
+
+    # a row a partition, summed by 16 tasks before the driver sums those
+    parts = parts.repartition(16).mapInArrow(summed, "a array<double>, b array<double>, n long").collect()
     a = b = n = 0
-    for p in parts:  # one row a partition
+    for p in sorted(parts, key=lambda p: (p["n"], p["b"])):
         a, b, n = a + np.array(p["a"]), b + np.array(p["b"]), n + p["n"]
     d = len(b) if n else 0
     return (a.reshape(d, d), b, n) if n else (np.zeros((0, 0)), np.zeros(0), 0)
@@ -370,9 +447,8 @@ def diagnostics(df: DataFrame, predicted: str, observed: str) -> DataFrame:
     # average ranks from counts of distinct values, so that only distinct values are ordered
     d = df
     for c in (predicted, observed):
-        per = df.groupBy(c).agg(F.count(F.lit(1)).alias("_c"))
-        upto = F.sum("_c").over(Window.orderBy(c))
-        d = d.join(per.select(c, (upto - (F.col("_c") - 1) / 2).alias(f"_rank_{c}")), c)
+        per = running_total(df.groupBy(c).agg(F.count(F.lit(1)).alias("_c")), [c], "_c", "_upto")
+        d = d.join(per.select(c, (F.col("_upto") - (F.col("_c") - 1) / 2).alias(f"_rank_{c}")), c)
     k = df.groupBy("cluster").agg(F.sum(observed).alias("_s"), F.count(observed).alias("_n"))
     d = d.join(k, "cluster").withColumn("_loo", (F.col("_s") - F.col(observed)) / F.nullif(F.col("_n") - 1, F.lit(0)))
     res = F.sum(F.pow(F.col(observed) - F.col(predicted), F.lit(2)))
@@ -422,7 +498,7 @@ def top_clusters(clusters: DataFrame, value: str, budget: int) -> DataFrame:
 def fill(items: DataFrame, allocation: DataFrame, order: str) -> DataFrame:
     """The first `take` rows of each cluster by falling order; ties by idx."""
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc(order), "idx"))
-    return items.join(F.broadcast(allocation.select("cluster", "take")), "cluster").withColumn("rank", rank).where("rank <= take")
+    return items.join(allocation.select("cluster", "take"), "cluster").withColumn("rank", rank).where("rank <= take")
 
 
 def top_unseen(items: DataFrame, seen: DataFrame, score: str, n: int) -> DataFrame:
@@ -440,6 +516,11 @@ def top_with_budget(items: DataFrame, seen: DataFrame, weight: str, target: int,
 # ---- Beta bandit
 
 
+def correct_counts(rewards: DataFrame, groups: int, threshold: float = 0.5, key: str = "idx", reward: str = "reward") -> DataFrame:
+    """idx, correct: rewards of a row above the threshold, at most the size of its group."""
+    return rewards.groupBy(F.col(key).alias("idx")).agg(F.least(F.count_if(F.col(reward) > threshold), F.lit(groups)).cast("int").alias("correct"))
+
+
 def updated_posteriors(state: DataFrame, counts: DataFrame, groups: int, lam1: float, lam2: float) -> DataFrame:
     """state(idx, a, b) after counts(idx, correct): decayed by lam1 where the group is mixed, by lam2 elsewhere and for rows not drawn."""
     d = state.join(counts, "idx", "left")
@@ -473,36 +554,39 @@ def direct_weights(state: DataFrame, form: int = 1) -> DataFrame:
     return state.withColumn("weight", learnability(a / (a + b), form))
 
 
-def _beta_cdf(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction."""
-    import math
-
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _beta_cdf(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
-    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
-    h = d
+def _beta_cdf(a, b, x):
+    """Regularised incomplete beta function of arrays, by its continued fraction, all entries in step."""
+    import numpy as np
+    from math import lgamma
+
+    a, b, x = (np.asarray(v, float) for v in (a, b, x))
+    gamma = np.vectorize(lgamma, otypes=[float])
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.clip(np.where(flip, 1 - x, x), 1e-300, 1 - 1e-16)
+    front = np.exp(gamma(p + q) - gamma(p) - gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    tiny = lambda v: np.where(np.abs(v) > 1e-300, v, 1e-300)
+    c, d = np.ones_like(y), 1 / tiny(1 - (p + q) * y / (p + 1))
+    h = d.copy()
     for m in range(1, 400):
-        for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d = 1 + num * d
-            d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-            c = 1 + num / (c if abs(c) > 1e-300 else 1e-300)
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d, c = 1 / tiny(1 + num * d), tiny(1 + num / c)
             h *= d * c
-        if abs(d * c - 1) < 1e-14:
+        if (np.abs(d * c - 1) < 1e-14).all():
             break
-    return front * h
+    out = np.where(flip, 1 - front * h, front * h)
+    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
 
-def _upper_quantile(a: float, b: float, level: float) -> float:
-    """The `level` quantile of p (1 - p) for p ~ Beta(a, b), by bisection on its distribution."""
-    lo, hi = 0.0, 0.25
+def _upper_quantile(a, b, level: float):
+    """The `level` quantile of p (1 - p) for p ~ Beta(a, b), by bisection on its distribution, for arrays."""
+    import numpy as np
+
+    lo, hi = np.zeros(len(a)), np.full(len(a), 0.25)
     for _ in range(60):
         y = (lo + hi) / 2
-        r = (1 - 4 * y) ** 0.5
-        inside = _beta_cdf(a, b, (1 + r) / 2) - _beta_cdf(a, b, (1 - r) / 2)
-        lo, hi = (y, hi) if 1 - inside < level else (lo, y)
+        r = np.sqrt(1 - 4 * y)
+        below = 1 - (_beta_cdf(a, b, (1 + r) / 2) - _beta_cdf(a, b, (1 - r) / 2)) < level
+        lo, hi = np.where(below, y, lo), np.where(below, hi, y)
     return (lo + hi) / 2
 
 
@@ -510,7 +594,7 @@ def quantile_weights(state: DataFrame, level: float) -> DataFrame:
     """Upper-confidence weights: a quantile of p (1 - p) under the posterior."""
     import pandas as pd
 
-    udf = F.pandas_udf(lambda a, b: pd.Series([_upper_quantile(x, y, level) for x, y in zip(a, b)]), "double")
+    udf = F.pandas_udf(lambda a, b: pd.Series(_upper_quantile(a.to_numpy(float), b.to_numpy(float), level)), "double")
     return state.withColumn("weight", udf(F.col("a") + 1, F.col("b") + 1))
 
 
@@ -616,6 +700,58 @@ def _weighted(items: DataFrame, n: int, weight: str = "weight", seed: int = 0, *
     return weighted_rows(items, n, "idx", weight, seed)
 
 
+@register_selector("top_clusters")
+def _top_clusters(items: DataFrame, n: int, values: DataFrame, order: str = "score", **_) -> DataFrame:
+    """Whole clusters by falling value; values(cluster, value)."""
+    sizes = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(values, "cluster")
+    return fill(items, top_clusters(sizes, "value", n), order).drop("rank", "take")
+
+
+@register_selector("scored")
+def _scored(items: DataFrame, n: int, values: DataFrame, temperature: float = 1.0, order: str = "score", **_) -> DataFrame:
+    """Clusters share the budget by the softmax of their value, moved to meet it; the best rows of each."""
+    sizes = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(values, "cluster")
+    take = adjusted(softmax_share(sizes, "value", n, temperature), n, "value")
+    return fill(items, take, order).drop("rank", "take")
+
+
+@register_selector("interpolated")
+def _interpolated(items: DataFrame, n: int, refs: DataFrame, k: int = 8, temperature: float = 0.05, diverse: bool = False, means: str | None = None, bias: float = 0.5, low: float = 0.0, high: float = 1.0, **_) -> DataFrame:
+    """Rows of the greatest predicted variance, interpolated from refs(ref, vec, value) by similarity.
+
+    `means` names a column of expected rewards that tilts the variance towards hard rows, unless that leaves nothing.  If `diverse`,
+    clusters share the budget by their mean prediction, each with one row at least.
+    """
+    near = nearest_references(items.select("idx", "vec"), refs, k)
+    d = items.join(interpolated(near, temperature), "idx").withColumnRenamed("predicted", "score")
+    if means is not None:
+        d = d.withColumn("_tilted", F.greatest(utility(F.col("score"), F.col(means), bias, low, high), F.lit(0.0)))
+        alive = d.agg(F.sum("_tilted").alias("_alive"))
+        d = d.crossJoin(F.broadcast(alive)).withColumn("score", F.when(F.col("_alive") > 0, F.col("_tilted")).otherwise(F.col("score"))).drop("_tilted", "_alive")
+    if not diverse:
+        return first_rows(d, n, F.desc("score"), "idx")
+    per = d.groupBy("cluster").agg(F.avg("score").alias("value"), F.count(F.lit(1)).alias("size"))
+    return fill(d, adjusted(proportional(per, "value", n), n, "value"), "score").drop("rank", "take")
+
+
+@register_selector("similarity")
+def _similarity(items: DataFrame, n: int, refs: DataFrame, k: int = 8, temperature: float = 0.05, target: float = 0.5, sharpness: float = 0.1, seed: int = 0, **_) -> DataFrame:
+    """Rows drawn without replacement by how near their predicted mean reward is to the target; refs(ref, vec, value)."""
+    near = nearest_references(items.select("idx", "vec"), refs, k)
+    d = attention_probabilities(items.join(interpolated(near, temperature), "idx"), "predicted", target, sharpness)
+    return weighted_rows(d, n, "idx", "probability", seed)
+
+
+@register_selector("bandit")
+def _bandit(items: DataFrame, n: int, state: DataFrame, seen: DataFrame | None = None, new_left: int | None = None, weights: str = "direct", level: float = 0.9, form: int = 1, seed: int = 0, **_) -> DataFrame:
+    """The greatest learnability under state(idx, a, b), at most new_left of the rows unseen."""
+    weighted = {"direct": lambda: direct_weights(state, form), "quantile": lambda: quantile_weights(state, level), "draw": lambda: thompson_weights(state, seed, form=form)}[weights]()
+    d = items.join(weighted.select("idx", "weight"), "idx")
+    if new_left is None:
+        return first_rows(d, n, F.desc("weight"), "idx")
+    return top_with_budget(d, seen if seen is not None else d.select("idx").limit(0), "weight", n, new_left)
+
+
 @register_selector("none")
 def _none(items: DataFrame, n: int, **_) -> DataFrame:
     return items
@@ -625,3 +761,104 @@ def select_round(items: DataFrame, config: SelectionConfig, size: int) -> DataFr
     if config.strategy not in SELECTORS:
         raise ValueError(f"unknown strategy {config.strategy}")
     return SELECTORS[config.strategy](items, config.rows(size), seed=config.seed, **config.options)
+
+
+# ---- rounds of discovery under a budget
+
+
+@dataclass
+class Rounds:
+    """What selection remembers between rounds: rows taken (idx, origin) and the last choice; frozen once the cap is reached."""
+
+    cap: int | None = None
+    floor: int = 0
+    seen: DataFrame | None = None
+    last: DataFrame | None = None
+    frozen: bool = False
+    number: int = 0
+
+    def remaining(self) -> int | None:
+        return None if self.cap is None else self.cap - (0 if self.seen is None else self.seen.count())
+
+    def admit(self, chosen: DataFrame, origin: str) -> int:
+        """Takes new rows in under their origin; the rows seen then.  Rows already seen keep theirs."""
+        new = chosen.select("idx").distinct()
+        new = new if self.seen is None else new.join(self.seen.select("idx"), "idx", "left_anti")
+        new = new.withColumn("origin", F.lit(origin))
+        self.seen = (new if self.seen is None else self.seen.unionByName(new)).persist()
+        n = self.seen.count()
+        self.frozen = self.frozen or self.cap is not None and n >= self.cap
+        return n
+
+
+def discovery_round(items: DataFrame, config: SelectionConfig, rounds: Rounds, size: int, signal: DataFrame | None = None) -> tuple[DataFrame, dict]:
+    """(idx and place of the chosen rows, metrics) of one round, which `rounds` then remembers.
+
+    Before the cap, unseen rows are chosen by the strategy, at random if its options hold no signal yet, never more than the cap has left.
+    Once frozen, the pool of seen rows is drawn with replacement by signal(idx, value), floored.  Rows seen fill up to `floor`, drawn with
+    replacement, so that a batch is whole and no new row is spent.
+    """
+    from .advantages import resampled
+
+    left, was_frozen = rounds.remaining(), rounds.frozen
+    n = config.rows(size) if left is None else min(config.rows(size), max(left, 0))
+    rounds.number += 1
+    if was_frozen or left is not None and left <= 0:
+        pool = rounds.seen.select("idx")
+        weights = pool.join(signal, "idx", "left") if signal is not None else pool.withColumn("value", F.lit(1.0))
+        weights = frozen_weights(weights, "value").select(F.col("idx").alias("row_idx"), "weight")
+        chosen = resampled(weights, "weight", max(config.rows(size), rounds.floor), config.seed + rounds.number).select(F.col("row_idx").alias("idx"), F.col("draw").alias("place"))
+        origin = None
+    else:
+        open_ = items if rounds.seen is None else items.join(rounds.seen.select("idx"), "idx", "left_anti")
+        needs = {"top_clusters": "values", "scored": "values", "interpolated": "refs", "similarity": "refs", "bandit": "state"}.get(config.strategy)
+        cold = needs is not None and config.options.get(needs) is None
+        picked = random_rows(open_, n, "idx", config.seed + rounds.number) if cold else SELECTORS[config.strategy](open_, n, seed=config.seed + rounds.number, **config.options)
+        chosen, origin = picked.select("idx"), "train"
+    chosen = chosen.persist()
+    took = chosen.count()
+    metrics = {"round": rounds.number, "selected": took, "jaccard": 0.0 if rounds.last is None else jaccard(chosen, rounds.last).first()[0]}
+    rounds.last = chosen.select("idx").distinct()
+    if origin:
+        metrics["seen"] = rounds.admit(chosen, origin)
+        if took < rounds.floor:
+            reusable = rounds.seen.select(F.col("idx").alias("row_idx"), F.lit(1.0).alias("weight"))
+            pad = resampled(reusable, "weight", rounds.floor - took, config.seed + rounds.number).select(F.col("row_idx").alias("idx"))
+            chosen = chosen.unionByName(pad)
+            metrics["padded"] = rounds.floor - took
+    metrics["frozen"] = rounds.frozen
+    return chosen.select("idx"), metrics
+
+
+def probes(items: DataFrame, predictions: DataFrame, n: int, beta: float = 1.0, radius: float = 0.0, seen: DataFrame | None = None, batch: int = 2_048) -> list:
+    """The n unseen rows of the greatest predicted + beta * sigma, each choice keeping others at least a cosine radius away.
+
+    predictions(idx, predicted, sigma).  Rows come to the driver a bounded batch at a time, those already suppressed left out, until n are chosen.
+    """
+    import numpy as np
+
+    d = items.join(predictions, "idx").select("idx", unit("vec").alias("u"), (F.col("predicted") + beta * F.col("sigma")).alias("acq")).where("acq is not null and not isnan(acq)")
+    if seen is not None:
+        d = d.join(seen.select("idx"), "idx", "left_anti")
+    chosen: list = []
+    vectors: list = []
+    while len(chosen) < n:
+        rows = d.orderBy(F.desc("acq"), "idx").limit(batch).collect()
+        if not rows:
+            break
+        for r in rows:
+            u = np.array(r["u"])
+            if len(chosen) < n and not (radius > 0 and any(v @ u > 1 - radius for v in vectors)):
+                chosen.append(r["idx"])
+                vectors.append(u)
+        edge = rows[-1]
+        d = d.where((F.col("acq") < F.lit(edge["acq"])) | (F.col("acq") == F.lit(edge["acq"])) & (F.col("idx") > F.lit(edge["idx"])))
+    return chosen
+
+
+def exploration_rows(items: DataFrame, rounds: Rounds, n: int, every: int, seed: int = 0) -> DataFrame:
+    """Random rows that nobody has seen, every so many rounds and within the cap; none once frozen."""
+    left = rounds.remaining()
+    n = 0 if rounds.frozen or every <= 0 or rounds.number % every else n if left is None else min(n, max(left, 0))
+    open_ = items if rounds.seen is None else items.join(rounds.seen.select("idx"), "idx", "left_anti")
+    return random_rows(open_.select("idx"), n, "idx", seed + rounds.number)

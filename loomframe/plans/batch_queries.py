@@ -46,11 +46,11 @@ def _(spark, d):
     return B.conflicts(p, p.withColumn("c_acctbal", F.abs("c_acctbal")), ["c_name", "c_acctbal"])
 
 
-@query("batch_concat", f"WITH {POS_SQL}, a AS (SELECT * FROM pos WHERE row_idx < 100), b AS (SELECT * FROM pos WHERE c_acctbal < 0) SELECT row_idx, c_name FROM a UNION ALL SELECT row_number() OVER (ORDER BY row_idx) - 1 + (SELECT count(*) FROM a), c_name FROM b")
+@query("batch_concat", f"WITH {POS_SQL}, a AS (SELECT * FROM pos), b AS (SELECT * FROM pos WHERE c_acctbal < 0) SELECT row_idx, c_name FROM a UNION ALL SELECT row_number() OVER (ORDER BY row_idx) - 1 + (SELECT count(*) FROM a), c_name FROM b")
 def _(spark, d):
     p = positions(spark, d).select("row_idx", "c_name", "c_acctbal")
     b = B.number_rows(p.where("c_acctbal < 0").drop("row_idx").join(p.select("c_name", F.col("row_idx").alias("o")), "c_name"), ["o"])
-    return B.concat([p.where("row_idx < 100").select("row_idx", "c_name"), b.select("row_idx", "c_name")])
+    return B.concat([p.select("row_idx", "c_name"), b.select("row_idx", "c_name")])
 
 
 query("batch_chunk", f"WITH {POS_SQL} SELECT row_idx, c_name, CAST(row_idx // CAST(ceil((SELECT count(*) FROM pos) / 7.0) AS BIGINT) AS INTEGER) AS chunk FROM pos")(
@@ -74,8 +74,8 @@ query("batch_unfold", "SELECT vec_id * 4 + k AS row_idx, label, CAST(embedding[k
 query("batch_fold", f"WITH {POS_SQL} SELECT row_idx // 5 AS row_idx, string_agg(c_name, ',' ORDER BY row_idx) AS names, count(*)::INTEGER AS n FROM pos GROUP BY row_idx // 5")(
     lambda spark, d: B.fold(positions(spark, d).select("row_idx", "c_name"), 5).select("row_idx", F.array_join("c_name", ",").alias("names"), F.size("c_name").alias("n"))
 )
-query("batch_fold_unfold", f"WITH {POS_SQL} SELECT row_idx, c_name, c_acctbal FROM pos WHERE row_idx < 1000 // 5 * 5")(
-    lambda spark, d: B.unfold_rows(B.fold(positions(spark, d).select("row_idx", "c_name", "c_acctbal").where("row_idx < 1000"), 5))
+query("batch_fold_unfold", f"WITH {POS_SQL} SELECT row_idx, c_name, c_acctbal FROM pos")(
+    lambda spark, d: (lambda p, n: (lambda padded, more: B.unpad(B.unfold_rows(B.fold(padded, 7)), more, n + more))(*B.pad_to_divisor(p, 7, n)))(positions(spark, d).select("row_idx", "c_name", "c_acctbal"), positions(spark, d).count())
 )
 query("batch_pad", f"WITH {POS_SQL}, n AS (SELECT count(*) AS n, (64 - count(*) % 64) % 64 AS more FROM pos) SELECT row_idx, c_name FROM pos UNION ALL SELECT row_idx + n, c_name FROM pos, n WHERE row_idx < more")(
     lambda spark, d: B.pad_to_divisor(positions(spark, d).select("row_idx", "c_name"), 64)[0]
@@ -104,7 +104,7 @@ def _(spark, d):
 
 
 query("batch_mini_batches", f"WITH {POS_SQL} SELECT row_idx, CAST(e AS INTEGER) AS epoch, CAST(row_idx // 10 AS INTEGER) AS batch FROM pos, (SELECT unnest([0, 1]) AS e) WHERE row_idx < (SELECT count(*) FROM pos) // 10 * 10")(
-    lambda spark, d: (lambda p, n: B.mini_batches(p.where(F.col("row_idx") < n // 10 * 10), 10, 2, n=n // 10 * 10).select("row_idx", "epoch", "batch"))(positions(spark, d), positions(spark, d).count())
+    lambda spark, d: B.mini_batches(positions(spark, d), 10, 2, drop_last=True).select("row_idx", "epoch", "batch")
 )
 query("batch_metrics_collected", "SELECT event_type AS name, string_agg(CAST(round(value, 2) AS VARCHAR), ';' ORDER BY event_id) AS vals FROM events GROUP BY event_type")(
     lambda spark, d: B.collected(table(spark, d, "events").select(F.col("event_type").alias("name"), F.col("event_id").alias("part"), F.round("value", 2).alias("value"))).select("name", F.array_join(F.transform("values", lambda v: v.cast("string")), ";").alias("vals"))
@@ -164,8 +164,8 @@ query("rl_rows", "SELECT doc_id, 'docs' AS data_source, 'user' AS role, lang AS
 query("tagged_truth", "SELECT doc_id, 'search_' || source AS data_source, CASE WHEN doc_id % 2 = 0 THEN lang ELSE source END AS ground_truth FROM documents")(
     lambda spark, d: D.tagged_truth(table(spark, d, "documents").select("doc_id", F.col("source").alias("data_source"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("reward_ground_truth"), F.col("source").alias("golden_answers")), "search_").select("doc_id", "data_source", "ground_truth")
 )
-query("equal_splits", f"WITH {POS_SQL} SELECT row_idx, CAST(row_idx // 200 AS INTEGER) AS part FROM pos WHERE row_idx < 1000 AND (SELECT count(*) FROM pos) >= 1000")(
-    lambda spark, d: (lambda p: p.where(F.lit(p.count() >= 1000)).where("row_idx < 1000").select("row_idx", D.equal_splits(1000, 5).alias("part")))(positions(spark, d))
+query("equal_splits", f"WITH {POS_SQL} , n AS (SELECT count(*) + (5 - count(*) % 5) % 5 AS n, (5 - count(*) % 5) % 5 AS more, count(*) AS had FROM pos), x AS (SELECT row_idx FROM pos UNION ALL SELECT row_idx + had FROM pos, n WHERE row_idx < more) SELECT row_idx, CAST(row_idx // (n // 5) AS INTEGER) AS part FROM x, n")(
+    lambda spark, d: (lambda padded, more: (lambda n: padded.select("row_idx", D.equal_splits(n, 5).alias("part")))(padded.count()))(*B.pad_to_divisor(positions(spark, d).select("row_idx"), 5))
 )
 query(
     "sft_loss_mask",
@@ -181,8 +181,24 @@ query("conversation_messages", "SELECT conv_id, turn, CASE role WHEN 'user' THEN
 query("question_answer_messages", "SELECT item_id, 2 AS n, 'user' AS first, 'assistant' AS second FROM benchmark")(
     lambda spark, d: table(spark, d, "benchmark").select("item_id", D.question_answer_messages(F.col("text"), F.col("text")).alias("m")).select("item_id", F.size("m").alias("n"), F.col("m")[0]["role"].alias("first"), F.col("m")[1]["role"].alias("second"))
 )
-query("media_segments", "SELECT item_id, 3 AS n, 'image' AS kind, 'img' || item_id AS value FROM benchmark")(
-    lambda spark, d: table(spark, d, "benchmark").select("item_id", D.media_segments(F.concat(F.lit("see "), F.lit("<image>"), F.lit(" now")), F.array(F.concat(F.lit("img"), F.col("item_id")))).alias("s")).select("item_id", F.size("s").alias("n"), F.col("s")[1]["type"].alias("kind"), F.col("s")[1]["value"].alias("value"))
+query("media_segments", "SELECT item_id, CAST(4 + item_id % 2 AS INTEGER) AS n, 'text,image,text,video' || CASE WHEN item_id % 2 = 1 THEN ',image' ELSE '' END AS kinds, 'see ,img' || item_id || ', now ,vid' || item_id || CASE WHEN item_id % 2 = 1 THEN ',more' ELSE '' END AS vals FROM benchmark")(
+    lambda spark, d: (lambda odd: table(spark, d, "benchmark").select("item_id", D.media_segments(F.concat(F.lit("see <image> now <video>"), F.when(odd, "<image>").otherwise("")), F.when(odd, F.array(F.concat(F.lit("img"), "item_id"), F.lit("more"))).otherwise(F.array(F.concat(F.lit("img"), "item_id"))), F.array(F.concat(F.lit("vid"), "item_id"))).alias("s")).select(
+        "item_id", F.size("s").alias("n"), F.array_join("s.type", ",").alias("kinds"), F.array_join("s.value", ",").alias("vals")
+    ))(F.col("item_id") % 2 == 1)
+)
+query("preference_pairs", f"WITH {TOK_SQL}, g AS (SELECT rid, count(*) AS n FROM tok GROUP BY rid) SELECT rid, CAST(least(n + 1, 6) AS INTEGER) AS chosen, CAST(least(n + 2, 6) AS INTEGER) AS rejected, 6 AS width FROM g")(
+    lambda spark, d: D.preference_pair(_ids(spark, d).select("rid", F.col("ids").alias("prompt_ids"), F.array(F.lit(9)).alias("chosen_ids"), F.array(F.lit(7)).alias("rejected_ids")), 6, 9).select(
+        "rid", *[F.aggregate(F.col("pair")[i]["mask"], F.lit(0), lambda s, x: s + x).alias(n) for i, n in enumerate(("chosen", "rejected"))], F.size(F.col("pair")[0]["ids"]).alias("width")
+    )
+)
+query("unpadded_ids", f"WITH {TOK_SQL}, g AS (SELECT rid, list(t ORDER BY t) AS ids, sum(m) AS n, count(*) AS c FROM tok GROUP BY rid) SELECT rid, coalesce(array_to_string(ids[c - n + 1 : c], ','), '') AS s, CAST(n AS BIGINT) AS tail FROM g")(
+    lambda spark, d: _ids(spark, d).select("rid", F.array_join(F.transform(A.without_pad("ids", "mask"), lambda x: x.cast("string")), ",").alias("s"), F.size(D.response_slice("ids", "mask")).alias("_n"), F.aggregate("mask", F.lit(0), lambda s, x: s + x).cast("long").alias("tail")).drop("_n")
+)
+query("padded_responses", f"WITH {TOK_SQL} SELECT rid, round(sum(CASE WHEN t > 1 THEN r ELSE 0 END), 6) + 0.0 AS total, 20 AS width FROM tok GROUP BY rid")(
+    lambda spark, d: trajectories(spark, d).select(F.col("row_idx").alias("rid"), D.padded_response(F.col("rewards"), F.lit(2), F.greatest(F.size("rewards") - 1, F.lit(0)), 20).alias("p")).select("rid", r(A.total("p")).alias("total"), F.size("p").alias("width"))
+)
+query("rows_without_ids", f"WITH {TOK_SQL} SELECT rid, CAST(sum(CASE WHEN t % 3 <> 0 THEN t ELSE 0 END) AS BIGINT) AS total, 20 AS width FROM tok GROUP BY rid")(
+    lambda spark, d: _ids(spark, d).select("rid", D.without_ids(F.col("ids"), list(range(3, 60, 3)), 20, 0).alias("x")).select("rid", F.aggregate("x", F.lit(0), lambda s, x: s + x).cast("long").alias("total"), F.size("x").alias("width"))
 )
 
 _PAD = "WITH {t}, g AS (SELECT rid, list(t ORDER BY t) AS ids, count(*) AS n FROM tok GROUP BY rid)".replace("{t}", TOK_SQL)
@@ -193,8 +209,8 @@ def _ids(spark, d):
     return t.select(F.col("row_idx").alias("rid"), F.transform("mask", lambda m, i: i + 1).alias("ids"), "mask")
 
 
-query("pad_left", _PAD + " SELECT rid, array_to_string(list_concat(list_resize([]::BIGINT[], greatest(8 - n, 0), 0), ids), ',') AS s FROM g WHERE n <= 8")(
-    lambda spark, d: _ids(spark, d).where(F.size("ids") <= 8).select("rid", F.array_join(F.transform(A.fit_length("ids", 8, 0), lambda x: x.cast("string")), ",").alias("s"))
+query("pad_left", _PAD + " SELECT rid, array_to_string(list_concat(list_resize([]::BIGINT[], (SELECT max(n) FROM g) + 2 - n, 0), ids), ',') AS s FROM g")(
+    lambda spark, d: (lambda i: i.select("rid", F.array_join(F.transform(A.fit_length("ids", i.agg(F.max(F.size("ids"))).first()[0] + 2, 0), lambda x: x.cast("string")), ",").alias("s")))(_ids(spark, d))
 )
 for _side, _expr in (("left", "ids[n - 3 : n]"), ("right", "ids[1 : 4]"), ("middle", "list_concat(ids[1 : 2], ids[n - 1 : n])")):
     query(f"truncate_{_side}", _PAD + f" SELECT rid, array_to_string(CASE WHEN n > 4 THEN {_expr} ELSE list_concat(ids, list_resize([]::BIGINT[], greatest(4 - n, 0), 0)) END, ',') AS s FROM g")(
@@ -215,9 +231,12 @@ query("score_at_last_token", f"WITH {TOK_SQL} SELECT rid, CAST(sum(m) AS BIGINT)
 
 # ---- scoring
 
-_NORM = "trim(regexp_replace(regexp_replace(translate(lower({}), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{{|}}~', ''), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'))"
-query("qa_normalised", f"SELECT item_id, md5({_NORM.format('text')}) AS h FROM benchmark WHERE regexp_full_match(text, '[\\x00-\\x7F]*')")(
-    lambda spark, d: table(spark, d, "benchmark").where(F.regexp_like("text", F.lit(r"^[\x00-\x7F]*$"))).select("item_id", F.md5(X.normal_answer(F.col("text"))).alias("h"))
+_PUNCTUATED = "translate(lower(text), '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', '')"
+#: Articles between non-letters, taken out twice as neighbours share an edge.
+_ARTICLES = "'(^|[^\\p{L}\\p{Nd}_])(a|an|the)([^\\p{L}\\p{Nd}_]|$)', '\\1 \\3', 'g'"
+_NORM = f"trim(regexp_replace(regexp_replace(regexp_replace({_PUNCTUATED}, {_ARTICLES}), {_ARTICLES}), '\\s+', ' ', 'g'))"
+query("qa_normalised", f"SELECT item_id, md5({_NORM}) AS h FROM benchmark")(
+    lambda spark, d: table(spark, d, "benchmark").select("item_id", F.md5(X.normal_answer(F.col("text"))).alias("h"))
 )
 query("qa_exact_match", "WITH p AS (SELECT a.item_id, b.item_id AS other, a.text AS t, b.text AS u FROM benchmark a JOIN benchmark b ON abs(a.item_id - b.item_id) <= 1) SELECT item_id, other, CAST(CASE WHEN item_id = other OR t = u THEN 1 ELSE 0 END AS INTEGER) AS em, CAST(CASE WHEN item_id = other OR t = u THEN 1 ELSE 0 END AS INTEGER) AS sub FROM p")(
     lambda spark, d: (lambda a, b: a.join(b, F.abs(F.col("item_id") - F.col("other")) <= 1).select("item_id", "other", X.exact_match(F.upper("t"), F.array("u")).alias("em"), X.contained_match(F.concat(F.col("t"), F.lit("!")), F.array("u")).alias("sub")))(
@@ -257,8 +276,22 @@ query("overlong_penalty", "SELECT doc_id, round(least(-(n_chars - (2000 - 500))
 query("unshaped_accuracy", "WITH a AS (SELECT p_partkey, least(greatest((p_retailprice / 2000 - 0.1 * (p_size % 2)) / 0.9, 0), 1) AS a FROM part) SELECT p_partkey, round(CASE WHEN abs(a) < 1e-6 THEN 0 WHEN abs(a - 1) < 1e-6 THEN 1 ELSE a END, 6) + 0.0 AS acc FROM a")(
     lambda spark, d: table(spark, d, "part").select("p_partkey", r(X.unshaped_accuracy(F.col("p_retailprice") / 2000, F.col("p_size") % 2, 0.1)).alias("acc"))
 )
-query("completion_text", "SELECT item_id, text AS t FROM benchmark WHERE regexp_full_match(text, '[^\\[\\]]*') AND text = trim(text) AND NOT contains(text, '  ')")(
-    lambda spark, d: table(spark, d, "benchmark").where("NOT (text LIKE '%[%' OR text LIKE '%]%' OR text LIKE '%  %') AND text = trim(text)").select("item_id", X.completion_text(F.concat(F.lit(" "), F.col("text"), F.lit("[edit]"))).alias("t"))
+_COMPLETION = "' ' || text || ' [title] end  [edit] of [it'"
+query("completion_text", f"SELECT item_id, replace(regexp_replace(replace(trim({_COMPLETION}), ' [title]', '. '), '\\[.*?\\]', '', 'g'), '  ', ' ') AS t FROM benchmark")(
+    lambda spark, d: table(spark, d, "benchmark").select("item_id", X.completion_text(F.concat(F.lit(" "), F.col("text"), F.lit(" [title] end  [edit] of [it"))).alias("t"))
+)
+query(
+    "final_answers",
+    "SELECT p_partkey, CAST(p_size AS VARCHAR) AS normal, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS score, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS strict FROM part",
+)(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", F.concat(F.lit("x = \\text{"), F.col("p_size"), F.lit("} cm^\\circ")).alias("a"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("none").alias("g")).select(
+        "p_partkey", X.final_answer_normal(F.col("a")).alias("normal"), X.final_answer_score(F.concat(F.lit("first\nAnswer: "), F.col("a")), F.col("g")).alias("score"), X.final_answer_score(F.concat(F.lit("so \\boxed{"), F.regexp_extract("a", r"(\d+)", 1), F.lit("}")), F.col("g"), strict_box=True).alias("strict")
+    )
+)
+query("channel_tool_calls", "SELECT event_id, event_type AS name, props AS arguments, 1 AS n, 'ab' AS content FROM events")(
+    lambda spark, d: table(spark, d, "events").select("event_id", X.channel_tool_calls(F.concat(F.lit("a<|channel|>analysis<|message|>hm<|end|><|start|>assistant<|channel|>commentary to=functions."), F.col("event_type"), F.lit(" <|constrain|>json<|message|>"), F.col("props"), F.lit("<|call|>b"))).alias("c")).select(
+        "event_id", F.col("c.calls")[0]["name"].alias("name"), F.col("c.calls")[0]["arguments"].alias("arguments"), F.size("c.calls").alias("n"), "c.content"
+    )
 )
 query("scores_by_source", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS score FROM part")(
     lambda spark, d: table(spark, d, "part").select("p_partkey", X.score_by_source(F.when(F.col("p_partkey") % 2 == 0, "numbers").otherwise("answers"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("#### "), F.col("p_size"))).otherwise(F.concat(F.lit("<answer>"), F.col("p_size"), F.lit("</answer>"))), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("none"), ["numbers", "answers"]).alias("score"))

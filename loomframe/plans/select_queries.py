@@ -100,8 +100,8 @@ query("last_metrics", "SELECT event_type AS name, 'last' AS rule, round(arg_max(
 query("percentiles", "SELECT event_type, round(avg(value), 6) + 0.0 AS mean, max(value) AS max, min(value) AS min, round(quantile_cont(value, 0.5), 6) + 0.0 AS p50, round(quantile_cont(value, 0.95), 6) + 0.0 AS p95, round(quantile_cont(value, 0.99), 6) + 0.0 AS p99 FROM events GROUP BY event_type")(
     lambda spark, d: rounded(Q.percentiles(table(spark, d, "events"), ["event_type"], "value"), "mean", "p50", "p95", "p99")
 )
-query("slowest_rows", "SELECT event_type, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY event_type")(
-    lambda spark, d: rounded(Q.slowest(table(spark, d, "events"), ["event_type"], F.col("value"), "event_id"), "min", "max", "mean").drop("slowest_event_id")
+query("slowest_rows", "SELECT event_type, round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(avg(value), 6) + 0.0 AS mean, arg_max(event_id, value) AS slowest_event_id FROM events GROUP BY event_type")(
+    lambda spark, d: rounded(Q.slowest(table(spark, d, "events"), ["event_type"], F.col("value"), "event_id"), "min", "max", "mean")
 )
 query("source_means", "WITH p AS (SELECT o_orderpriority AS source, o_custkey, avg(o_totalprice / 7919.0) AS m FROM orders GROUP BY ALL) SELECT source, round(avg(m), 5) + 0.0 AS mean_score, count(*) AS prompts FROM p GROUP BY source")(
     lambda spark, d: rounded(Q.source_means(_samples(spark, d), "source", "uid", "acc"), "mean_score", digits=5)
@@ -123,15 +123,15 @@ def _items(spark, d):
 
 
 def _refs(spark, d):
-    return table(spark, d, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7 / 7.0).alias("value"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vec"), (F.col("vec_id") % 7 / 7.0).alias("value"))
 
 
-_NEAR = f"WITH {_EMB}, s AS (SELECT a.idx, b.idx AS ref, list_dot_product(a.u, b.u) AS sim, b.idx % 7 / 7.0 AS value FROM u a, u b WHERE b.idx % 10 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, ref) AS k FROM s)"
+_NEAR = f"WITH {_EMB}, s AS (SELECT a.idx, b.idx AS ref, list_dot_product(a.u, b.u) AS sim, b.idx % 7 / 7.0 AS value FROM u a, u b WHERE a.idx % 100 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, ref) AS k FROM s)"
 query("nearest_references", _NEAR + " SELECT idx, ref, CAST(k AS INTEGER) AS rank, round(sim, 6) + 0.0 AS sim FROM k WHERE k <= 5")(
-    lambda spark, d: rounded(L.nearest_references(_items(spark, d), _refs(spark, d), 5).select("idx", "ref", "rank", "sim"), "sim")
+    lambda spark, d: rounded(L.nearest_references(_items(spark, d).where("idx % 100 = 0"), _refs(spark, d), 5).select("idx", "ref", "rank", "sim"), "sim")
 )
 query("knn_interpolation", _NEAR + " SELECT idx, round(sum(exp((sim - m) / 0.05) * value) / sum(exp((sim - m) / 0.05)), 6) + 0.0 AS predicted FROM (SELECT *, max(sim) OVER (PARTITION BY idx) AS m FROM k WHERE k <= 8) GROUP BY idx")(
-    lambda spark, d: rounded(L.interpolated(L.nearest_references(_items(spark, d), _refs(spark, d), 8)), "predicted")
+    lambda spark, d: rounded(L.interpolated(L.nearest_references(_items(spark, d).where("idx % 100 = 0"), _refs(spark, d), 8)), "predicted")
 )
 _PAIR = f"WITH {_EMB}, p AS (SELECT a.idx, a.cluster, b.idx AS other, list_dot_product(a.u, b.u) AS sim FROM u a JOIN u b ON a.cluster = b.cluster AND a.idx <> b.idx)"
 query("cluster_density", _PAIR + ", k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, other) AS k FROM p) SELECT idx, cluster, round(1.0 / (avg(1 - sim) + 1e-8), 5) + 0.0 AS density FROM k WHERE k <= 10 GROUP BY idx, cluster")(
@@ -177,11 +177,11 @@ def _state(spark, d):
 
 
 def _counts(spark, d):
-    return table(spark, d, "events").groupBy(F.col("user_id").alias("idx")).agg(F.least(F.sum((F.col("value") >= 50).cast("long")), F.lit(8)).alias("correct"))
+    return L.correct_counts(table(spark, d, "events").select(F.col("user_id").alias("idx"), (F.col("value") >= 50).cast("int").alias("reward")), 8)
 
 
 _ST = "st AS (SELECT c_custkey AS idx, (c_custkey % 9)::DOUBLE AS a, (c_custkey % 5)::DOUBLE AS b FROM customer), ct AS (SELECT user_id AS idx, least(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END), 8) AS correct FROM events GROUP BY user_id)"
-query("correct_counts", f"WITH {_ST} SELECT idx, CAST(correct AS BIGINT) AS correct FROM ct")(lambda spark, d: _counts(spark, d))
+query("correct_counts", f"WITH {_ST} SELECT idx, CAST(correct AS INTEGER) AS correct FROM ct")(lambda spark, d: _counts(spark, d))
 query("beta_updates", f"WITH {_ST} SELECT st.idx, round(CASE WHEN correct > 0 AND correct < 8 THEN 0.9 ELSE 0.5 END * a + coalesce(correct, 0), 6) + 0.0 AS a, round(CASE WHEN correct > 0 AND correct < 8 THEN 0.9 ELSE 0.5 END * b + coalesce(8 - correct, 0), 6) + 0.0 AS b FROM st LEFT JOIN ct ON ct.idx = st.idx")(
     lambda spark, d: rounded(L.updated_posteriors(_state(spark, d), _counts(spark, d), 8, 0.9, 0.5), "a", "b")
 )
@@ -237,7 +237,7 @@ query("stable_top", "SELECT c_custkey AS idx, CAST(floor(c_acctbal / 1000) AS IN
 query("top_with_budget", "WITH c AS (SELECT c_custkey AS idx, c_acctbal AS w, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS is_new FROM customer), a AS (SELECT * FROM c WHERE is_new ORDER BY w DESC, idx LIMIT 10), b AS (SELECT * FROM c WHERE NOT is_new) SELECT idx, is_new FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY w DESC, idx LIMIT 100")(
     lambda spark, d: L.top_with_budget(_weighted(spark, d), _seen(spark, d), "weight", 100, 10).select("idx", "is_new")
 )
-query("random_selection")(lambda spark, d: L.select_round(_weighted(spark, d), L.SelectionConfig("random", 0.1), 1500).select("idx"))
+query("random_selection")(lambda spark, d: L.select_round(_weighted(spark, d), L.SelectionConfig("random", 0.1), table(spark, d, "customer").count()).select("idx"))
 query("weighted_selection")(lambda spark, d: L.weighted_rows(_weighted(spark, d).withColumn("weight", F.greatest("weight", F.lit(0.0))), 100, "idx", "weight", 9).select("idx"))
 query("resampled_rows")(lambda spark, d: (lambda G, w: G.resampled(w, "weight", 500, 3).select("draw", "row_idx"))(__import__("loomframe.operators.advantages", fromlist=["x"]), _weighted(spark, d).select(F.col("idx").alias("row_idx"), F.greatest("weight", F.lit(1e-8)).alias("weight"))))
 query("ols_calibration", "WITH p AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem) SELECT round(regr_slope(y, x), 5) + 0.0 AS slope, round(regr_intercept(y, x), 4) + 0.0 AS intercept FROM p")(
@@ -272,6 +272,51 @@ query("logp_contrast", f"WITH {TOK_SQL} SELECT rid, round(sum((olp - rlp) * m) /
 )
 
 
+# ---- selection rounds
+
+_ALL = f"WITH {_EMB}, s AS (SELECT a.idx, a.cluster, list_dot_product(a.u, b.u) AS sim, b.idx % 7 / 7.0 AS value, b.idx AS ref FROM u a, u b), k AS (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY sim DESC, ref) AS k FROM s), p AS (SELECT idx, any_value(cluster) AS cluster, sum(exp((sim - m) / 0.5) * value) / sum(exp((sim - m) / 0.5)) AS score FROM (SELECT *, max(sim) OVER (PARTITION BY idx) AS m FROM k WHERE k <= 8) GROUP BY idx)"
+query("select_interpolated", _ALL + " SELECT idx, round(score, 6) + 0.0 AS score FROM p ORDER BY p.score DESC, idx LIMIT 40")(
+    lambda spark, d: rounded(L.select_round(_items(spark, d), L.SelectionConfig("interpolated", 40, options={"refs": _refs(spark, d), "temperature": 0.5}), 10**9).select("idx", "score"), "score")
+)
+query(
+    "select_interpolated_diverse",
+    _ALL + ", c AS (SELECT cluster, avg(score) AS value, count(*) AS size FROM p GROUP BY cluster), t AS (SELECT *, least(greatest(CAST(round_even(value / (SELECT sum(value) FROM c) * 40, 0) AS BIGINT), 1), size) AS t FROM c), o AS (SELECT *, (SELECT sum(t) FROM t) - 40 AS ov, coalesce(sum(t) OVER (ORDER BY value, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, coalesce(sum(size - t) OVER (ORDER BY value DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS hi FROM t), a AS (SELECT cluster, t - least(greatest(ov - lo, 0), t) + least(greatest(-ov - hi, 0), size - t) AS take FROM o), r AS (SELECT idx, cluster, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, idx) AS k FROM p) SELECT idx, r.cluster FROM r JOIN a USING (cluster) WHERE k <= take",
+)(lambda spark, d: L.select_round(_items(spark, d), L.SelectionConfig("interpolated", 40, options={"refs": _refs(spark, d), "temperature": 0.5, "diverse": True}), 10**9).select("idx", "cluster"))
+query("select_top_clusters", f"WITH {_CL}, t AS (SELECT cluster, least(greatest(120 - coalesce(sum(size) OVER (ORDER BY value DESC, cluster ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0), size) AS take FROM cl), k AS (SELECT vec_id AS idx, label AS cluster, row_number() OVER (PARTITION BY label ORDER BY vec_id % 13 DESC, vec_id) AS k FROM embeddings) SELECT idx, k.cluster FROM k JOIN t USING (cluster) WHERE k <= take")(
+    lambda spark, d: L.select_round(_items(spark, d).withColumn("score", F.col("idx") % 13), L.SelectionConfig("top_clusters", 120, options={"values": _clusters(spark, d).select("cluster", "value")}), 10**9).select("idx", "cluster")
+)
+query("select_bandit", "WITH w AS (SELECT c_custkey AS idx, (c_custkey % 9 + 1.0) / (c_custkey % 9 + 1.0 + (c_custkey % 5 + 1.0)) AS p, c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') AS is_new FROM customer), v AS (SELECT idx, p * (1 - p) AS w, is_new FROM w), a AS (SELECT * FROM v WHERE is_new ORDER BY w DESC, idx LIMIT 15), b AS (SELECT * FROM v WHERE NOT is_new) SELECT idx, is_new FROM (SELECT * FROM a UNION ALL SELECT * FROM b) ORDER BY w DESC, idx LIMIT 60")(
+    lambda spark, d: L.select_round(table(spark, d, "customer").select(F.col("c_custkey").alias("idx")), L.SelectionConfig("bandit", 60, options={"state": _state(spark, d), "seen": _seen(spark, d), "new_left": 15}), 10**9).select("idx", "is_new")
+)
+query("select_similarity")(lambda spark, d: L.select_round(_items(spark, d), L.SelectionConfig("similarity", 30, seed=4, options={"refs": _refs(spark, d)}), 10**9).select("idx"))
+
+
+def _predictions(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), (F.col("vec_id") % 17 / 17).alias("predicted"), (F.col("vec_id") % 5 / 10).alias("sigma"))
+
+
+@query("probe_rows", "SELECT vec_id AS idx FROM embeddings WHERE label <> 3 ORDER BY vec_id % 17 / 17 + 2.0 * (vec_id % 5 / 10) DESC, vec_id LIMIT 25")
+def _(spark, d):
+    seen = _items(spark, d).where("cluster = 3").select("idx")
+    got = L.probes(_items(spark, d), _predictions(spark, d), 25, 2.0, seen=seen)
+    return spark.createDataFrame([(i,) for i in got], "idx long")
+
+
+@query("discovery_rounds")
+def _(spark, d):
+    """Three rounds under a cap of 70 rows: round, idx of every choice."""
+    rounds, items, out = L.Rounds(cap=70, floor=40), _items(spark, d), None
+    for k in range(3):
+        config = L.SelectionConfig("interpolated", 30, seed=1, options={"refs": None if k == 0 else _refs(spark, d)})
+        got, _metrics = L.discovery_round(items, config, rounds, 10**9, signal=_refs(spark, d).select(F.col("ref").alias("idx"), "value"))
+        got = got.withColumn("round", F.lit(k + 1))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+query("majority_of_k")(lambda spark, d: rounded(Q.majority_of_k(_samples(spark, d).withColumn("pred", F.col("pos") % 3), ["uid"], "pred", "acc", "pos", rounds=100), "maj_mean", "maj_std"))
+
+
 @query("ridge_predictions")
 def _(spark, d):
     i = table(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), F.transform("embedding", lambda x: x.cast("double")).alias("vec"), (F.col("vec_id") % 7 / 7).alias("y"), F.lit(1.0).alias("w"))

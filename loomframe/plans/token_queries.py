@@ -43,12 +43,11 @@ _group("gpg", "gpg", f"(SELECT count(*) / greatest(sum(CASE WHEN {S} <> 0 THEN 1
 
 @query(
     "grpo_passk",
-    "WITH g AS (SELECT o_custkey AS uid, o_orderkey AS row_idx, o_totalprice AS score, count(*) OVER (PARTITION BY o_custkey) AS n, stddev_samp(o_totalprice) OVER (PARTITION BY o_custkey) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k, lead(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS nxt FROM orders) SELECT row_idx, uid, round(CASE WHEN k = 1 THEN (score - nxt) / (s + 1e-6) ELSE 0.0 END, 6) + 0.0 AS advantage FROM g WHERE n > 1",
+    "WITH o AS (SELECT o_custkey % 50 AS uid, o_orderkey AS row_idx, o_totalprice AS score FROM orders), g AS (SELECT uid, row_idx, score, stddev_samp(score) OVER (PARTITION BY uid) AS s, row_number() OVER (PARTITION BY uid ORDER BY score DESC, row_idx) AS k, lead(score) OVER (PARTITION BY uid ORDER BY score DESC, row_idx) AS nxt FROM o) SELECT row_idx, uid, round(CASE WHEN k = 1 THEN (score - nxt) / (s + 1e-6) ELSE 0.0 END, 6) + 0.0 AS advantage FROM g",
 )
 def _(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), F.col("o_custkey").alias("uid"), F.col("o_totalprice").alias("score"))
-    many = o.groupBy("uid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("uid")
-    return rounded(G.compute_advantage(o.join(many, "uid"), "grpo_passk").select("row_idx", "uid", "advantage"), "advantage")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), (F.col("o_custkey") % 50).alias("uid"), F.col("o_totalprice").alias("score"))
+    return rounded(G.compute_advantage(o, "grpo_passk").select("row_idx", "uid", "advantage"), "advantage")
 
 
 @query("group_mean_std", f"SELECT l_orderkey AS uid, round(CASE WHEN count(*) = 1 THEN 0.0 ELSE avg({S}) END, 6) + 0.0 AS mean, round(CASE WHEN count(*) = 1 THEN 1.0 ELSE sqrt(greatest(var_samp({S}), 1e-6)) END, 6) + 0.0 AS std, count(*) AS n FROM lineitem GROUP BY l_orderkey")
@@ -172,10 +171,10 @@ def _(spark, d):
     return e.select("user_id", r(G.adapted_betas(F.col("kl"), 0.2, 0.5, 4, 1000.0), 8).alias("beta"))
 
 
-@query("masked_statistics", f"WITH {TOK_SQL}, n AS (SELECT rid, sum(m) AS k FROM tok GROUP BY rid), mu AS (SELECT rid, sum(v * m) AS s, sum(v * m) / (sum(m) + 1e-8) AS mean FROM tok GROUP BY rid) SELECT rid, round(max(s), 6) + 0.0 AS total, round(max(mean), 6) + 0.0 AS mean, round(sum(m * (v - mean) * (v - mean)) / (max(k) + 1e-8) * max(k) / (max(k) - 1), 8) + 0.0 AS var FROM tok JOIN mu USING (rid) JOIN n USING (rid) WHERE k > 1 GROUP BY rid")
+@query("masked_statistics", f"WITH {TOK_SQL}, n AS (SELECT rid, sum(m) AS k FROM tok GROUP BY rid), mu AS (SELECT rid, sum(v * m) AS s, sum(v * m) / (sum(m) + 1e-8) AS mean FROM tok GROUP BY rid) SELECT rid, round(max(s), 6) + 0.0 AS total, round(max(mean), 6) + 0.0 AS mean, CASE WHEN max(k) > 1 THEN round(sum(m * (v - mean) * (v - mean)) / (max(k) + 1e-8) * max(k) / (max(k) - 1), 8) + 0.0 END AS var FROM tok JOIN mu USING (rid) JOIN n USING (rid) GROUP BY rid")
 def _(spark, d):
-    t = trajectories(spark, d).where(A.count_mask("mask") > 1)
-    t = t.select(F.col("row_idx").alias("rid"), A.masked_sum("values", "mask").alias("total"), A.masked_mean("values", "mask").alias("mean"), A.masked_var("values", "mask").alias("var"))
+    t = trajectories(spark, d)
+    t = t.select(F.col("row_idx").alias("rid"), A.masked_sum("values", "mask").alias("total"), A.masked_mean("values", "mask").alias("mean"), F.when(A.count_mask("mask") > 1, A.masked_var("values", "mask")).alias("var"))
     return rounded(rounded(t, "total", "mean"), "var", digits=8)
 
 

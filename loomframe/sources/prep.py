@@ -77,12 +77,22 @@ def labelled_only(df: DataFrame, label: str = "label") -> DataFrame:
     return df.where(F.length(label) > 0)
 
 
-def media_segments(content: Column, images: Column) -> Column:
-    """Typed segments of text with <image> placeholders, the k-th bound to the k-th image; counts must agree."""
-    parts = F.filter(F.split(F.regexp_replace(content, "(<image>)", "\u0001$1\u0001"), "\u0001"), lambda s: s != "")
-    n = F.size(F.filter(parts, lambda s: s == "<image>"))
-    bind = F.transform(parts, lambda s, i: F.when(s == "<image>", F.struct(F.lit("image").alias("type"), F.element_at(images, F.size(F.filter(F.slice(parts, 1, i + 1), lambda x: x == "<image>"))).alias("value"))).otherwise(F.struct(F.lit("text").alias("type"), s.alias("value"))))
-    return F.when(n == F.size(images), bind).otherwise(F.raise_error(F.lit("placeholders and images differ in number")))
+def media_segments(content: Column, images: Column, videos: Column | None = None) -> Column:
+    """Typed segments of text with <image> and <video> placeholders, the k-th bound to the k-th of its kind; counts must agree."""
+    media = {"image": images} | ({"video": videos} if videos is not None else {})
+    parts = F.filter(F.split(F.regexp_replace(content, f"(<(?:{'|'.join(media)})>)", "\u0001$1\u0001"), "\u0001"), lambda s: s != "")
+    count = lambda of, mark: F.size(F.filter(of, lambda x: x == mark))
+
+    def bound(s: Column, i: Column) -> Column:
+        out = F.struct(F.lit("text").alias("type"), s.alias("value"))
+        for kind, values in media.items():
+            out = F.when(s == f"<{kind}>", F.struct(F.lit(kind).alias("type"), F.try_element_at(values, count(F.slice(parts, 1, i + 1), f"<{kind}>")).alias("value"))).otherwise(out)
+        return out
+
+    agree = F.lit(True)
+    for kind, values in media.items():
+        agree = agree & (count(parts, f"<{kind}>") == F.size(values))
+    return F.when(agree, F.transform(parts, bound)).otherwise(F.raise_error(F.lit("placeholders and media differ in number")))
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

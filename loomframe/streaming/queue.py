@@ -24,7 +24,7 @@ def kept_in_queue(df: DataFrame, capacity: int, queue: list[str] | None = None)
     """What a drop-oldest queue without consumer holds after all arrivals: the last `capacity` of each."""
     keys = queue or []
     last = df.groupBy(*keys).agg(F.max("seq").alias("_last"))
-    d = df.join(F.broadcast(last), keys) if keys else df.crossJoin(F.broadcast(last))
+    d = df.join(last, keys) if keys else df.crossJoin(F.broadcast(last))
     return d.where(F.col("seq") > F.col("_last") - capacity).drop("_last")
 
 
@@ -40,7 +40,7 @@ def count_windows(df: DataFrame, size: int, queue: list[str] | None = None, drop
         return d
     keys = queue or []
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    d = d.join(F.broadcast(n), keys) if keys else d.crossJoin(F.broadcast(n))
+    d = d.join(n, keys) if keys else d.crossJoin(F.broadcast(n))
     return d.where((F.col("window") + 1) * size <= F.col("_n")).drop("_n")
 
 
@@ -64,6 +64,21 @@ def paused(queued: int, capacity: int, stale: int, cap: int) -> bool:
     return queued >= capacity or stale >= cap
 
 
+def synced(df: DataFrame, every: int, shut_down: int | None = None) -> DataFrame:
+    """Adds version and left, the samples taken since the last parameter update; the count of stale samples starts anew with every update.
+
+    From window `shut_down` on nothing is taken any more.
+    """
+    d = versions(df, every) if shut_down is None else versions(df.where(F.col("window") < shut_down), every)
+    w = Window.partitionBy(*[c for c in ("queue",) if c in df.columns], "version").orderBy("seq")
+    return d.withColumn("left", F.row_number().over(w))
+
+
+def without_cancelled(df: DataFrame, cancelled: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Samples less those whose generation was cancelled; they are neither queued nor counted as dropped."""
+    return df.join(cancelled.select(key).distinct(), key, "left_anti")
+
+
 def window_statistics(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """mean, max, min, p50, p95, p99 and number of versions of each window."""
     from ..operators.metrics import percentiles
