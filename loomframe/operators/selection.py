@@ -581,7 +581,7 @@ def _upper_quantile(a, b, level: float):
     """The `level` quantile of p (1 - p) for p ~ Beta(a, b), by bisection on its distribution, for arrays."""
     import numpy as np
 
-    lo, hi = np.zeros(len(a)), np.full(len(a), 0.25)
+    lo, hi = np.zeros(np.shape(a)), np.full(np.shape(a), 0.25)
     for _ in range(60):
         y = (lo + hi) / 2
         r = np.sqrt(1 - 4 * y)
