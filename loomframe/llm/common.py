@@ -32,16 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 FILE_BYTES = 32 << 20
 
 
-def cut(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
-    """Checkpoint into the shared folder; Spark's cleaner takes the files away.
+def in_tasks(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """A table of at most `rows` rows of about `row_bytes` in tasks of up to FILE_BYTES, but at least as many as there are cores, instead of one per shuffle partition."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * row_bytes // FILE_BYTES)))
 
-    A table of at most `rows` rows of about `row_bytes` is written in files of up to
-    FILE_BYTES, but at least as many as there are cores, instead of one per shuffle partition.
-    """
+
+def cut(df: DataFrame, rows: int | None = None, row_bytes: int = 64) -> DataFrame:
+    """Checkpoint into the shared folder; Spark's cleaner takes the files away.  A table of known size is written in few files, as by `in_tasks`."""
     shared_folder(df.sparkSession)
-    if rows is not None:
-        df = df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows * row_bytes // FILE_BYTES)))
-    return df.checkpoint()
+    return (df if rows is None else in_tasks(df, rows, row_bytes)).checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:

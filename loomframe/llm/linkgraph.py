@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, in_tasks
 
 #: (verdict, host, path), as the contract gives them.
 RULES = [
@@ -103,12 +103,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, thre
     ahead = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("all")).alias("f"), F.lit(0.0).alias("g"))
     into = edges.groupBy("dst").agg(F.sum("weight").alias("all"))
     back = edges.join(into, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0.0).alias("f"), (F.col("weight") / F.col("all")).alias("g"))
-    share = cut(ahead.unionByName(back).groupBy("src", "dst").agg(F.sum("f").alias("f"), F.sum("g").alias("g")))
+    most = 2 * edges.count()
+    share = cut(ahead.unionByName(back).groupBy("src", "dst").agg(F.sum("f").alias("f"), F.sum("g").alias("g")), most)
     n = share.count()
     total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     start = seeds.select("host", (F.col("good") / F.lit(total["good"] or 1.0)).alias("t"), (F.col("bad") / F.lit(total["bad"] or 1.0)).alias("d"))
-    start = cut(start.withColumns({"t": F.coalesce("t", F.lit(0.0)), "d": F.coalesce("d", F.lit(0.0))}))
-    hubs = cut(_hubs(share, "src", n) if hub is None else share.groupBy("src").count().where(F.col("count") > hub).select("src"))
+    start = cut(start.withColumns({"t": F.coalesce("t", F.lit(0.0)), "d": F.coalesce("d", F.lit(0.0))}), seeds.count())
+    hubs = cut(_hubs(share, "src", n) if hub is None else share.groupBy("src").count().where(F.col("count") > hub).select("src"), n)
     hubs = None if hubs.isEmpty() else hubs
     rank, seen, done = start, -1, 0
     while n and (rounds is None or done < rounds):
@@ -116,13 +117,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, thre
         for _ in range(STEP if rounds is None else min(STEP, rounds - done)):
             before = rank
             here = rank.select(F.col("host").alias("src"), "t", "d")
+            # every host with a rank is a seed or the end of an edge, so tasks need be no more than those rows ask for
             moved = _met(share, here, "src", hubs).select(F.col("dst").alias("host"), (F.col("f") * F.col("t") * damping).alias("t"), (F.col("g") * F.col("d") * damping).alias("d"))
             given = start.select("host", (F.col("t") * (1 - damping)).alias("t"), (F.col("d") * (1 - damping)).alias("d"))
-            rank = moved.unionByName(given).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
+            rank = in_tasks(in_tasks(moved, n).unionByName(given).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")), n)
             done += 1
         # both rounds in one table, so that the change is seen without another pass
         both = rank.select("host", "t", "d", F.lit(0.0).alias("t0"), F.lit(0.0).alias("d0")).unionByName(before.select("host", F.lit(0.0).alias("t"), F.lit(0.0).alias("d"), F.col("t").alias("t0"), F.col("d").alias("d0")))
-        both = cut(both.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "t0", "d0")]))
+        both = cut(both.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("t", "d", "t0", "d0")]), n)
         rank = both.select("host", "t", "d")
         if rounds is not None:
             continue
@@ -143,7 +145,8 @@ def judge(pages: DataFrame, rules=None, threshold: float = THRESHOLD, floor: flo
     p = cut(p.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)))
     hosts = cut(p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("fit.verdict") == "allow").cast("double")).alias("good"), F.sum((F.col("fit.verdict") == "block").cast("double")).alias("bad")))
     seeds = hosts.where("host != '' and (good > 0 or bad > 0)").select("host", "good", "bad")
-    scores = propagate(cut(host_edges(p.select("host", "linked"))), seeds, threshold=threshold, floor=floor)
+    edges = host_edges(p.select("host", "linked"))
+    scores = propagate(cut(edges), seeds, threshold=threshold, floor=floor)
     total = hosts.agg(F.sum("n")).first()[0] or 0
     hubs = hosts.where(F.col("n") > max(HUB, total // HUBS)).select("host")
     judged = _met(p.drop("linked"), scores, "host", hubs, "left").fillna(0.0, ["trust", "distrust"])
