@@ -70,11 +70,13 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int =
     All n-grams of 1 to 4 bytes of the word between two boundary marks, those at the
     boundaries being its affixes, and the word itself.
     """
+    if not len(starts):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     size = ends - starts + 2
     base = np.cumsum(size) - size
     text = np.full(int(size.sum()), 1, np.uint64)
     at = np.arange(len(text)) - np.repeat(base, size)
-    word = np.repeat(np.arange(len(size)), size)
+    word = np.repeat(np.arange(len(size), dtype=np.int32), size)
     inner = (at > 0) & (at < size[word] - 1)
     text[inner] = data[(starts[word] + at - 1)[inner]]
     slots, owner = [], []
@@ -84,14 +86,14 @@ def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, bits: int =
         ahead = np.concatenate([text[n - 1 :], np.zeros(n - 1, np.uint64)])
         roll = roll * np.uint64(0x100000001B3) + ahead + np.uint64(17)
         ok = left >= n if n > 1 else inner
-        slots.append(mix64(roll[ok] + np.uint64(n << 40)) >> np.uint64(64 - bits))
+        slots.append((mix64(roll[ok] + np.uint64(n << 40)) >> np.uint64(64 - bits)).astype(np.int32))
         owner.append(word[ok])
     p = np.uint64(0x9E3779B97F4A7C15)
     powers = np.multiply.accumulate(np.full(int(size.max(initial=1)), p, np.uint64))
     whole = np.add.reduceat((text + np.uint64(3)) * powers[at], base) if len(base) else np.zeros(0, np.uint64)
-    slots.append(mix64(whole) >> np.uint64(64 - bits))
-    owner.append(np.arange(len(size)))
-    slot, own = np.concatenate(slots).astype(np.int64), np.concatenate(owner)
+    slots.append((mix64(whole) >> np.uint64(64 - bits)).astype(np.int32))
+    owner.append(np.arange(len(size), dtype=np.int32))
+    slot, own = np.concatenate(slots), np.concatenate(owner)
     order = np.argsort(own, kind="stable")
     return slot[order], own[order]
 
@@ -114,7 +116,7 @@ def marginals(emission: np.ndarray, off: np.ndarray, trans: np.ndarray, span: in
     """
     L = trans.shape[0]
     if not len(emission):
-        return emission
+        return np.zeros((0, trans.shape[0]))
     e = np.exp(emission - emission.max(1, keepdims=True)).astype(np.float64)
     t = np.exp(trans - trans.max()).astype(np.float64)
     n = np.diff(off)
@@ -275,7 +277,7 @@ def predict(model: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
     """Language and score of every text."""
     langs, scores = [], []
     _, off = text_bytes(texts)
-    for a, b in pieces(off, 2 << 20):
+    for a, b in pieces(off, 1 << 20):
         part = texts.slice(a, b - a)
         if model is None:
             langs += ["und"] * (b - a)
@@ -283,10 +285,11 @@ def predict(model: dict | None, texts: pa.Array) -> tuple[list[str], np.ndarray]
             continue
         p, per, _, _ = label_words(model, part)
         n = np.diff(per)
-        total = np.diff(np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])[per], axis=0)
+        total = np.zeros((b - a, p.shape[1]))
+        total[n > 0] = np.add.reduceat(p, per[:-1][n > 0], axis=0) if n.any() else 0  # a row's sum depends on the row alone
         mean = total / np.maximum(n, 1)[:, None]
         best = mean.argmax(1)
-        score = np.clip(mean[np.arange(b - a), best], 0, 1)
+        score = np.round(np.clip(mean[np.arange(b - a), best], 0, 1), 9)
         raw = part.to_pylist() if p.shape[0] == 0 or (n == 0).any() else None
         for i in range(b - a):
             langs.append(model["names"][best[i]] if n[i] else "und")
