@@ -360,3 +360,15 @@ query(
 query("bypass_reinforce_loss", f"WITH {TOK_SQL}, x AS (SELECT m, -a * lp * least(exp(least(greatest(lp - rlp, -20), 20)) * m, 2.0) AS x FROM tok) SELECT round(sum(x * m) / sum(m), 6) + 0.0 AS loss FROM x")(
     lambda spark, d: (lambda t: rounded(t.agg(M.agg_loss(t, "token-mean").alias("loss")), "loss"))(R.bypass_loss(trajectories(spark, d), "reinforce", "token"))
 )
+
+
+@query(
+    "long_scans",
+    "WITH t AS (SELECT l_suppkey % 40 AS rid, row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS t, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS m, l_discount AS r FROM lineitem) SELECT rid, count(*) AS n, CAST(greatest(sum(m) - 1, 0) AS INTEGER) AS last_position, round(sum(t * r * m), 3) + 0.0 AS suffix_total FROM t GROUP BY rid",
+)
+def _(spark, d):
+    """Scans along arrays of thousands of tokens."""
+    li = table(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("rid"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", F.expr("CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END").alias("m"), F.col("l_discount").alias("r")).alias("z"))
+    g = li.groupBy("rid").agg(F.sort_array(F.collect_list("z")).alias("z")).select("rid", F.col("z.m").alias("mask"), F.col("z.r").alias("rewards"))
+    out = g.select("rid", F.size("mask").cast("long").alias("n"), F.array_max(A.position_ids("mask")).alias("last_position"), A.total(A.running(A.masked("rewards", "mask"), reverse=True)).alias("suffix_total"))
+    return rounded(out, "suffix_total", digits=3)
