@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_names, own_names
+from .common import cut, free_names, in_tasks, own_names
 from .tokens import SPACE_TABLE, distinct_sets, pieces, text_bytes, windows, words
 
 ROWS, MISS, SURE = 5, 1e-6, 12.5
@@ -184,6 +184,17 @@ def sketches(docs: DataFrame, width: int, m: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, hi long, lo long, sketch binary")
 
 
+def _joined_heads(links):
+    """key, head, comp of one key's links among heads, a few dozen at most whatever the key's size."""
+    import pandas as pd
+
+    name, place = np.unique(links[["a", "b"]].to_numpy().ravel(), return_inverse=True)
+    forest = _Forest(len(name))
+    place = place.reshape(-1, 2)
+    forest.join(place[:, 0], place[:, 1])
+    return pd.DataFrame({"key": links["key"].iloc[0], "head": name, "comp": name[forest.label]})
+
+
 def _by_heads(members: DataFrame, payload: DataFrame, linked, block: int) -> DataFrame:
     """a, b: spanning links within large groups, from members(key, node, size) and payload(node, ...).
 
@@ -199,8 +210,8 @@ def _by_heads(members: DataFrame, payload: DataFrame, linked, block: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, heads, forest = None, None, None
 
-        def found(key, a, b):
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, types[0]), pa.array(b, types[0])], names=["key", "a", "b"])
+        def found(key, a, b, among_heads=False):
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, types[0]), pa.array(b, types[0]), pa.array([among_heads] * len(a), pa.bool_())], names=["key", "a", "b", "among_heads"])
 
         types = [None]
         for batch in batches:
@@ -238,12 +249,12 @@ def _by_heads(members: DataFrame, payload: DataFrame, linked, block: int) -> Dat
                 forest.join(f, j)
                 moved = np.flatnonzero(forest.label != before)
                 if len(moved):
-                    yield found(np.full(len(moved), key[0]), name[moved], name[forest.label[moved]])
+                    yield found(np.full(len(moved), key[0]), name[moved], name[forest.label[moved]], True)
 
     def compared(heads: DataFrame, rest: DataFrame) -> DataFrame:
         rows = heads.withColumn("role", F.lit(0)).unionByName(rest.withColumn("role", F.lit(1))).join(payload, "node")
         rows = rows.select("_g", "role", "key", "node", *fields).repartition("_g").sortWithinPartitions("_g", "role")
-        return rows.mapInArrow(run, f"key long, a {kind}, b {kind}")
+        return rows.mapInArrow(run, f"key long, a {kind}, b {kind}, among_heads boolean")
 
     one = compared(
         members.where(F.pmod(F.xxhash64(F.lit("head"), "node"), F.col("size")) < HEADS).select("key", "node", every.alias("at")).select("key", "node", F.xxhash64("key", "at").alias("_g")),
@@ -252,8 +263,9 @@ def _by_heads(members: DataFrame, payload: DataFrame, linked, block: int) -> Dat
     one = cut(one)
     links = one.where("b is not null and a != b").select("a", "b")
     # two members of the greatest component add nothing; all others meet everybody
-    comp = components(links).select("node", F.col("root").alias("comp"))
-    placed = members.join(comp, "node", "left").select("key", "node", "size", F.coalesce("comp", "node").alias("comp"))
+    comp = one.where("among_heads").select("key", "a", "b").distinct().groupBy("key").applyInPandas(_joined_heads, f"key long, head {kind}, comp {kind}")
+    placed = one.where("not among_heads").select("key", F.col("a").alias("node"), F.col("b").alias("head")).join(comp, ["key", "head"], "left")
+    placed = placed.select("key", "node", F.coalesce("comp", "head", "node").alias("comp"))
     per = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
     per = cut(per.where(F.col("n") < F.col("all")).select("key", "main", (F.col("all") - F.col("n")).alias("lone")))
     if per.isEmpty():
@@ -318,7 +330,7 @@ def _with_least(links: DataFrame, least: DataFrame, most: int, hub: int) -> Data
     """
     hubs = least.where(F.col("n") > max(hub, most // HUBS)).select("u", "m")
     met = links.join(F.broadcast(hubs), "u", "left")
-    rest = met.where("m is null").select("u", "v").join(least.select("u", "m"), "u")
+    rest = in_tasks(met.where("m is null").select("u", "v").join(least.select("u", "m"), "u"), most)
     return met.where("m is not null").select("u", "v", "m").unionByName(rest)
 
 
@@ -327,20 +339,21 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
 
     Large-star and small-star steps alternate until every node has one link, to a node that has none.  Minima are
     combined before the shuffle and joined back, those of hubs by broadcast, so that a hub does not gather in one task.
+    Rounds run in as many tasks as the number of links asks for.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     most = e.count()  # no step makes more links than there were
 
     def settled() -> bool:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        per = in_tasks(ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")), 2 * most)
         return per.where("up > 1 or up = 1 and down = 1").isEmpty()
 
     while not settled():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        e = _with_least(both, least, 2 * most, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = in_tasks(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * most)
+        e = in_tasks(_with_least(both, least, 2 * most, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
+        least = in_tasks(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), most)
         met = _with_least(e, least, most, hub)
         e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), most)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
