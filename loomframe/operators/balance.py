@@ -80,7 +80,7 @@ def checked(sets: list[list[int]], n: int) -> list[list[int]]:
 
 
 def partitioned(df: DataFrame, keys: list[str], weight: str, k: int, equal: bool = False, method: str = "differencing") -> DataFrame:
-    """Adds part, 0..k-1, within each group of keys; row_idx orders ties."""
+    """Adds part, 0..k-1, within each group of keys; row_idx orders ties.  A group of fewer rows than parts is an error."""
     import pandas as pd
 
     pick = {"differencing": largest_differencing, "greedy": greedy}[method]
@@ -88,7 +88,7 @@ def partitioned(df: DataFrame, keys: list[str], weight: str, k: int, equal: bool
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_idx").reset_index(drop=True)
         part = pd.Series(0, index=pdf.index)
-        for p, items in enumerate(pick([float(w) for w in pdf[weight]], k, equal)):
+        for p, items in enumerate(checked(pick([float(w) for w in pdf[weight]], k, equal), len(pdf))):
             part.iloc[items] = p
         return pdf.assign(part=part.astype("int32"))
 

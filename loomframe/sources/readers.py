@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..operators.selection import first_rows
 
 LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -49,7 +50,7 @@ def sample(df: DataFrame, n: int, key: str = "row_idx", seed: int | None = None)
     if n < 0:
         return df
     order = [F.xxhash64(F.lit(seed), key), F.col(key)] if seed is not None else [F.col(key)]
-    return df.orderBy(*order).limit(n)
+    return first_rows(df, n, *order)
 
 
 def short_enough(df: DataFrame, length: Column, most: int) -> DataFrame:
