@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..operators import balance as P
 from ..operators import batch as B
 from ..operators import joins as J
+from ..operators import metrics as Q
 from ..operators import selection as L
 from ..sources import prep as D
 from ..sources import readers as S
@@ -383,3 +384,31 @@ query("scored_by_function", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_s
 query("run_on_ranks", f"WITH {POS_SQL} SELECT row_idx, c_acctbal * 2 AS x FROM pos")(
     lambda spark, d: B.run_on_ranks(positions(spark, d).select("row_idx", "c_acctbal"), "one_to_all", 3, lambda t: t.select("row_idx", "rank", (F.col("c_acctbal") * 2).alias("x")))
 )
+
+# ---- loaders and row forms
+
+query("prompt_scan", "SELECT doc_id FROM documents WHERE text IS NOT NULL AND len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) <= 150")(
+    lambda spark, d: S.prompts(spark, f"{d}/documents.parquet", key="doc_id", most_tokens=150, prompt="text").select("doc_id")
+)
+query("conversation_scan", "SELECT conv_id, turn, text AS messages, CAST(NULL AS VARCHAR) AS tools FROM conversations")(
+    lambda spark, d: S.conversations(spark, f"{d}/conversations.parquet", messages="text", key="conv_id").select("conv_id", "turn", "messages", "tools")
+)
+query("appended_rows", "SELECT doc_id AS id, lang AS tag FROM documents UNION ALL SELECT item_id, NULL FROM benchmark WHERE length(text) <= 60")(
+    lambda spark, d: S.appended(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("tag")), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), F.length("text"), 60).select("id", "tag")
+)
+query("labelled_rows", "SELECT doc_id, lang AS label FROM documents WHERE length(lang) > 0")(lambda spark, d: D.labelled_only(table(spark, d, "documents").select("doc_id", F.col("lang").alias("label"))))
+query("lifted_defaults", "SELECT doc_id AS dataset_idx, n_chars AS idx, '{}' AS tools, '{}' AS interaction FROM documents")(
+    lambda spark, d: D.with_defaults(table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.struct(F.col("n_chars").alias("index")).alias("extra_info"))).select("dataset_idx", F.col("index").alias("idx"), F.col("tools_kwargs").alias("tools"), F.col("interaction_kwargs").alias("interaction"))
+)
+query("response_lengths", f"WITH {TOK_SQL} SELECT rid, 3.0::DOUBLE AS prompt_length, sum(m)::DOUBLE AS response_length FROM tok GROUP BY rid")(
+    lambda spark, d: Q.response_info(trajectories(spark, d).select(F.col("row_idx").alias("rid"), F.concat(F.array_repeat(F.lit(1), 3), "mask").alias("attention_mask"), F.col("rewards").alias("responses"))).select("rid", "prompt_length", "response_length")
+)
+query("generation_columns", f"WITH {POS_SQL} SELECT row_idx, c_name, c_mktsegment, c_acctbal FROM pos")(
+    lambda spark, d: (lambda made, rest: made.join(rest, "row_idx"))(*J.split_columns(positions(spark, d).select("row_idx", "c_name", "c_mktsegment", "c_acctbal"), ["c_name", "c_mktsegment"]))
+)
+query("join_lookup", "SELECT o_orderkey, o_custkey AS idx, c_name FROM orders JOIN customer ON c_custkey = o_custkey")(
+    lambda spark, d: J.lookup(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("idx")), table(spark, d, "customer").select(F.col("c_custkey").alias("idx"), "c_name"), "idx")
+)
+query("format_rewards", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS reward FROM part")(
+    lambda spark, d: table(spark, d, "part").select("p_partkey", X.formatted(F.concat(F.when(F.col("p_size") % 2 == 0, "<think>a\nb</think>").otherwise("<think>"), F.lit("\nso \\boxed{"), F.col("p_size"), F.lit("}"))).alias("reward"))
+)
