@@ -339,7 +339,8 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
 
     Large-star and small-star steps alternate until every node has one link, to a node that has none.  Minima are
     combined before the shuffle and joined back, those of hubs by broadcast, so that a hub does not gather in one task.
-    Rounds run in as many tasks as the number of links asks for.
+    Rounds run in as many tasks as the number of links asks for.  Each of the two steps is checkpointed: a step's plan
+    reads its links several times, and the driver plans, describes and replans every one of these copies.
     """
     e = cut(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     most = e.count()  # no step makes more links than there were
@@ -352,10 +353,10 @@ def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
     while not settled():
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = in_tasks(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), 2 * most)
-        e = in_tasks(_with_least(both, least, 2 * most, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
+        e = cut(_with_least(both, least, 2 * most, hub).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), most)
         least = in_tasks(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), most)
-        met = _with_least(e, least, most, hub)
-        e = cut(met.select("u", F.col("m").alias("v")).unionByName(met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), most)
+        ends = F.array(F.col("u"), F.when(F.col("v") != F.col("m"), F.col("v")))
+        e = cut(_with_least(e, least, most, hub).select(F.explode(ends).alias("u"), F.col("m").alias("v")).where("u is not null").distinct(), most)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -83,6 +83,26 @@ def test_components_of_a_chain(spark):
     assert {r[1] for r in setsketch.components(edges, hub=1).collect()} == {0}
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    """The driver plans and replans all that stands between two checkpoints; a step reads its links only a few times."""
+    reads, cut = [], setsketch.cut
+
+    def counted(df, *a):
+        reads.append(df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return cut(df, *a)
+
+    monkeypatch.setattr(setsketch, "cut", counted)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(250)] + [(300, i) for i in range(301, 340)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    forest = setsketch._Forest(340)
+    forest.join(*np.array(pairs).T)
+    want = {(i, int(r)) for i, r in enumerate(forest.label) if i != r}
+    for hub in (setsketch.HUB, 1):
+        assert {tuple(r) for r in setsketch.components(edges, hub).collect()} == want
+    assert max(reads) <= 12
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(2)
     a = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
