@@ -140,35 +140,96 @@ def prompt_metrics(df: DataFrame, source: str, uid: str, value: str, vote: str |
     return out.unionByName(maj.select(source, uid, at("maj", F.col("k")).alias("name"), F.col("maj_mean").alias("v")))
 
 
-def majority_of_k(df: DataFrame, keys: list[str], vote: str, value: str, pos: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """keys, k, maj_mean, maj_std: the value of the most frequent vote of k seeded draws with replacement, k of `sizes_for`.
+#: Numbers that one step over drawn samples holds at most, a single round of a single group apart.
+DRAWN = 1 << 21
 
-    Ties go to the vote that a draw holds first, and of its votes the first one's value counts.  A group is one prompt's samples.
+
+def _drawn(df: DataFrame, keys: list[str], value: str, pos: str, seed: int, rounds: int, run, out: str, vote: str | None = None) -> DataFrame:
+    """keys and what run(values, codes, draws) makes of all groups of one size together; groups of one size share their draws.
+
+    A group comes as one array by position, so that no call is made for a single group.  run gets values and codes of votes (groups, size),
+    and draws(k), which yields (first round, positions (rounds, k)) in steps; it returns pairs of row numbers and columns.
     """
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    last = F.struct(F.isnull(pos).alias("_null"), F.col(pos).alias("_pos"), F.col(value).cast("double").alias("_v"), *([F.col(vote).alias("_vote")] if vote else []))
+    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(last)).alias("_z")).select(*keys, F.col("_z._v").alias("_v"), *([F.col("_z._vote").alias("_vote")] if vote else []))
+    kinds = [k.strip().split(" ") for k in out.split(",")]
+    arrow = {"int": pa.int32(), "double": pa.float64()}
+
+    def each(batches):
+        import pandas as pd
 
-        pdf = pdf.sort_values(pos)
-        v, codes = pdf[value].to_numpy(float), pd.factorize(pdf[vote])[0]
-        n, rows = len(v), []
-        ks = [] if n <= 1 else [2**i for i in range(1, 64) if 2**i < n] + [n]
-        for k in ks:
+        kept: dict = {}
+
+        def draws(n: int, k: int):
+            step = max(1, DRAWN // max(n, k))
+            if (n, k) in kept:
+                yield 0, kept[n, k]
+                return
             rng = np.random.RandomState(seed)
-            draws = np.stack([rng.choice(n, size=k, replace=True) for _ in range(rounds)])
-            same = codes[draws][:, :, None] == codes[draws][:, None, :]
-            # a place's votes first, then how early its vote first stands
-            best = (same.sum(2) * (k + 1) - same.argmax(2)).argmax(1)
-            got = v[draws[np.arange(rounds), best]]
-            rows.append((k, float(got.mean()), float(got.std())))
-        out = pd.DataFrame(rows, columns=["k", "maj_mean", "maj_std"])
-        for c in keys:
-            out[c] = pdf[c].iloc[0]
-        return out[[*keys, "k", "maj_mean", "maj_std"]]
-
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", k int, maj_mean double, maj_std double"
-    return df.select(*keys, vote, value, pos).groupBy(*keys).applyInPandas(run, schema)
+            for a in range(0, rounds, step):
+                got = np.stack([rng.choice(n, size=k, replace=True) for _ in range(min(step, rounds - a))])
+                if step >= rounds:
+                    if sum(x.size for x in kept.values()) > DRAWN:
+                        kept.clear()
+                    kept[n, k] = got
+                yield a, got
+
+        for batch in batches:
+            lists = batch.column(len(keys))
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(size)])
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+            codes = None
+            if vote:
+                votes = pd.factorize(batch.column(len(keys) + 1).flatten().to_pandas(integer_object_nulls=True))[0] + 1
+                # numbered from 0 within each group
+                codes = np.unique(np.repeat(np.arange(len(size)), size) * (votes.max(initial=0) + 1) + votes, return_inverse=True)[1]
+                codes = codes - np.repeat(np.minimum.reduceat(codes, off[:-1]), size) if len(codes) else codes
+            for n in np.unique(size):
+                rows = np.flatnonzero(size == n)
+                some = max(1, DRAWN // (int(n) * min(rounds, max(1, DRAWN // int(n)))))
+                parts = []
+                for i in range(0, len(rows), some):
+                    at = off[rows[i : i + some], None] + np.arange(n)
+                    parts += [(rows[i : i + some], c) for c in run(flat[at], None if codes is None else codes[at], lambda k, n=int(n): draws(n, k))]
+                if parts:
+                    take = pa.array(np.concatenate([r for r, _ in parts]))
+                    made = [pa.array(np.concatenate([c[j] for _, c in parts])).cast(arrow[t]) for j, (_, t) in enumerate(kinds)]
+                    yield pa.RecordBatch.from_arrays([batch.column(j).take(take) for j in range(len(keys))] + made, names=[*keys, *[c for c, _ in kinds]])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*keys).dtypes)
+    return g.mapInArrow(each, f"{schema}, {out}")
+
+
+def majority_of_k(df: DataFrame, keys: list[str], vote: str, value: str, pos: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """keys, k, maj_mean, maj_std: the value of the most frequent vote of k seeded draws with replacement, k of `sizes_for`.
+
+    Ties go to the vote that a draw holds first, and of its votes the first one's value counts.  A group is one prompt's samples.
+    Votes are counted by code, so a draw costs its k places and the group's distinct votes.
+    """
+    import numpy as np
+
+    def run(v, codes, draws):
+        groups, n = v.shape
+        distinct = int(codes.max()) + 1
+        for k in [] if n <= 1 else [2**i for i in range(1, 64) if 2**i < n] + [n]:
+            got = np.empty((groups, rounds))
+            for a, places in draws(k):
+                m = len(places)
+                cell = codes[:, places] + (np.arange(groups * m) * distinct).reshape(groups, m, 1)
+                count = np.bincount(cell.ravel(), minlength=groups * m * distinct)
+                first = np.zeros(len(count), np.int64)
+                # of places assigned to one cell the last stays, so they go backwards
+                first[cell[:, :, ::-1].ravel()] = np.tile(np.arange(k)[::-1], groups * m)
+                best = (count * (k + 1) - first).reshape(groups, m, distinct).argmax(2)
+                won = np.take_along_axis(first.reshape(groups, m, distinct), best[:, :, None], 2)[:, :, 0]
+                got[:, a : a + m] = np.take_along_axis(v, places[np.arange(m), won], 1)
+            yield np.full(groups, k), got.mean(1), got.std(1)
+
+    return _drawn(df, keys, value, pos, seed, rounds, run, "k int, maj_mean double, maj_std double", vote)
 
 
 def bootstrap(df: DataFrame, keys: list[str], value: str, pos: str, k: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
