@@ -162,10 +162,16 @@ def packed_to_multiple(df: DataFrame, tokens: str, multiple: int, pad: int = 0)
 
 
 def rollout_row(prompt: str, response: str, prompt_width: int, response_width: int, pad: int = 0, response_mask: str | None = None) -> list[Column]:
-    """prompts (padded left), responses (padded right), their masks, joined ids and positions."""
+    """prompts (padded left), responses (padded right), their masks, joined ids and positions.
+
+    A response beyond its width stays whole: in the joined columns it takes the room of the prompt's padding, so that they keep their width
+    of prompt_width + response_width while the tokens fit in.
+    """
     p, q = A.pad(prompt, prompt_width, pad, left=True), A.pad(response, response_width, pad)
     pm = A.pad(F.transform(prompt, lambda _: F.lit(1)), prompt_width, 0, left=True)
     qm = A.pad(F.transform(response, lambda _: F.lit(1)), response_width, 0)
     rm = F.zip_with(A.pad(response_mask, response_width, 0), qm, lambda a, b: a * b) if response_mask else qm
-    mask = F.concat(pm, qm)
-    return [p.alias("prompts"), q.alias("responses"), rm.alias("response_mask"), F.concat(p, q).alias("input_ids"), mask.alias("attention_mask"), A.position_ids(F.transform(mask, lambda x: x.cast("double"))).alias("position_ids")]
+    taken = F.least(F.greatest(F.size(q) - F.lit(response_width), F.lit(0)), F.size(p) - F.size(prompt))
+    joined = lambda a, b: F.slice(F.concat(a, b), taken + 1, F.size(a) + F.size(b))
+    mask = joined(pm, qm)
+    return [p.alias("prompts"), q.alias("responses"), rm.alias("response_mask"), joined(p, q).alias("input_ids"), mask.alias("attention_mask"), A.position_ids(F.transform(mask, lambda x: x.cast("double"))).alias("position_ids")]

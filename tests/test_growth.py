@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomframe.operators import metrics as Q
+from loomframe.sources import prep as D
 
 
 def plan(df) -> str:
@@ -37,3 +38,12 @@ def test_drawn_groups_in_steps_are_the_same(spark, monkeypatch):
     whole = Q.majority_of_k(df, ["g"], "vote", "x", "pos", rounds=30).orderBy("g", "k").collect()
     monkeypatch.setattr(Q, "DRAWN", 64)
     assert Q.majority_of_k(df, ["g"], "vote", "x", "pos", rounds=30).orderBy("g", "k").collect() == whole
+
+
+def test_long_responses_keep_the_width_of_a_row(spark):
+    df = spark.createDataFrame([(0, [5], [1, 1, 1, 0, 1]), (1, [5, 6, 7], [1] * 5), (2, [5], [1, 0])], "i long, p array<int>, m array<int>")
+    got = df.select("i", *D.rollout_row("p", F.transform("m", lambda _, i: i + 1), 3, 4, response_mask="m")).orderBy("i").collect()
+    assert [r["input_ids"] for r in got] == [[0, 5, 1, 2, 3, 4, 5], [5, 6, 7, 1, 2, 3, 4, 5], [0, 0, 5, 1, 2, 0, 0]]
+    assert [r["attention_mask"] for r in got] == [[0, 1, 1, 1, 1, 1, 1], [1] * 8, [0, 0, 1, 1, 1, 0, 0]]
+    assert [r["response_mask"] for r in got] == [[1, 1, 1, 0, 1], [1] * 5, [1, 0, 0, 0]]
+    assert [max(r["position_ids"]) for r in got] == [5, 7, 2]
