@@ -235,23 +235,18 @@ def majority_of_k(df: DataFrame, keys: list[str], vote: str, value: str, pos: st
 def bootstrap(df: DataFrame, keys: list[str], value: str, pos: str, k: int, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """keys, best_mean, best_std, worst_mean, worst_std by seeded resampling, the generator set anew for each reducer.
 
-    A group is one prompt's samples, so it is small by design; groups run in parallel.
+    A group is one prompt's samples, so it is small by design; groups of one size are resampled together.
     """
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+    import numpy as np
 
-        v = pdf.sort_values(pos)[value].to_numpy(float)
-        out = {c: [pdf[c].iloc[0]] for c in keys}
-        rng = np.random.RandomState(seed)
-        draws = v[np.stack([rng.choice(len(v), size=k, replace=True) for _ in range(rounds)])]
-        for name, got in (("best", draws.max(1)), ("worst", draws.min(1))):
-            out[f"{name}_mean"], out[f"{name}_std"] = [float(got.mean())], [float(got.std())]
-        return pd.DataFrame(out)
+    def run(v, codes, draws):
+        best, worst = np.empty((len(v), rounds)), np.empty((len(v), rounds))
+        for a, places in draws(k):
+            got = v[:, places]
+            best[:, a : a + len(places)], worst[:, a : a + len(places)] = got.max(2), got.min(2)
+        yield best.mean(1), best.std(1), worst.mean(1), worst.std(1)
 
-    schema = ", ".join(f"{c} {t}" for c, t in df.select(*keys).dtypes) + ", best_mean double, best_std double, worst_mean double, worst_std double"
-    return df.select(*keys, value, pos).groupBy(*keys).applyInPandas(run, schema)
+    return _drawn(df, keys, value, pos, seed, rounds, run, "best_mean double, best_std double, worst_mean double, worst_std double")
 
 
 def named(metrics: DataFrame, core: str = "acc") -> DataFrame:

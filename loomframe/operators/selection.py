@@ -103,50 +103,138 @@ def dot(a, b) -> Column:
     return A.total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
-def nearest_references(items: DataFrame, refs: DataFrame, k: int, most_refs: int = 20_000) -> DataFrame:
-    """idx, ref, sim, value, rank: the k most similar references by cosine; ties by id.
+#: Rows of items that a task of nearest references holds, and tasks that the pairs are dealt to at most for that.
+HELD, CELLS = 1 << 16, 48
 
-    items(idx, vec) against a stated reference set refs(ref, vec, value), whose size is checked before
-    it is sent to the tasks; a larger set is worked off in slices and the best k merged.
+
+def nearest_references(items: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+    """idx, ref, sim, value, rank: the k most similar references by cosine; ties by id.  items(idx, vec) against refs(ref, vec, value).
+
+    Of equal vectors only the first k references can be chosen, and equal items share what they choose, so each vector is compared once.
+    All pairs of distinct vectors are met, in a grid of slices of items and of references: a task holds its slice of items, streams its
+    references through it and keeps k for each item, and the k of the slices of references are merged by item.
     """
     import numpy as np
     import pyarrow as pa
 
-    n = refs.count()
-    slices = max(1, -(-n // most_refs))
-    sc = items.sparkSession.sparkContext
-    parts = []
-    for s in range(slices):
-        some = refs if slices == 1 else refs.where(F.pmod(F.xxhash64("ref"), F.lit(slices)) == s)
-        rows = some.orderBy("ref").collect()
-        if not rows:
-            continue
-        m = np.array([r["vec"] for r in rows], float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        sent = sc.broadcast((m, np.array([r["ref"] for r in rows]), np.array([r["value"] for r in rows], float)))
-
-        def run(batches, sent=sent):
-            m, ids, values = sent.value
-            for batch in batches:
-                for a in range(0, batch.num_rows, 1024):
-                    b = batch.slice(a, 1024)
-                    x = np.array(b.column("vec").to_pylist(), float).reshape(b.num_rows, m.shape[1])
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                    sim = x @ m.T
-                    top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                    idx = np.repeat(b.column("idx").to_numpy(), top.shape[1])
-                    got = top.ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(idx), pa.array(ids[got]), pa.array(np.take_along_axis(sim, top, 1).ravel()), pa.array(values[got])], names=["idx", "ref", "sim", "value"])
-
-        kinds = f"idx {dict(items.dtypes)['idx']}, ref {dict(refs.dtypes)['ref']}, sim double, value double"
-        parts.append(items.select("idx", "vec").mapInArrow(run, kinds))
-    if not parts:
-        return items.select("idx").limit(0).selectExpr("idx", f"cast(null as {dict(refs.dtypes)['ref']}) ref", "cast(null as double) sim", "cast(null as double) value", "0 rank")
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p)
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("sim"), "ref"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= k)
+    first = F.row_number().over(Window.partitionBy("vec").orderBy("ref"))
+    some = refs.select("ref", "vec", F.col("value").cast("double").alias("value")).withColumn("_k", first).where(F.col("_k") <= k)
+    one = items.groupBy("vec").agg(F.min("idx").alias("_one"))
+    n = one.count()
+    slices = max(1, -(-n // HELD))
+    parts = max(1, min(CELLS // slices, -(-n // 1024)))
+    kinds = dict(items.dtypes)["idx"], dict(refs.dtypes)["ref"]
+
+    def dealt(df: DataFrame, key: str, own: int, others: int, role: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64(F.lit("cell"), key), F.lit(own)).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.withColumn("_mine", mine).withColumn("_other", other).select(
+            *[(F.col("_mine" if role == r else "_other")).alias(c) for r, c in ((0, "_i"), (1, "_r"))], F.lit(role).alias("_role"),
+            *[F.col(key) if c == key else F.lit(None).cast(t).alias(c) for c, t in (("_one", kinds[0]), ("ref", kinds[1]))], "vec", F.col("value") if role else F.lit(None).cast("double").alias("value"))
+
+    rows = dealt(one, "_one", slices, parts, 0).unionByName(dealt(some, "ref", parts, slices, 1))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x.cast("double"))).repartition(slices * parts, "_i", "_r").sortWithinPartitions("_i", "_r", "_role")
+
+    def units(column: pa.Array) -> np.ndarray:
+        x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    def run(batches):
+        held = ids = best = None
+
+        def chosen():
+            if best is not None and len(ids):
+                r, j = np.nonzero(best.some)
+                at = [pa.array(x) for x in (ids[r], best.ref[r, j], best.sim[r, j], best.value[r, j])]
+                yield pa.RecordBatch.from_arrays(at, names=["_one", "ref", "sim", "value"])
+
+        cell = None
+        for batch in batches:
+            i, r, role = (batch.column(c).to_numpy() for c in range(3))
+            cuts = np.flatnonzero((i[1:] != i[:-1]) | (r[1:] != r[:-1]) | (role[1:] != role[:-1])) + 1
+            for s, e in zip([0, *cuts], [*cuts, len(i)]) if len(i) else []:
+                if cell != (i[s], r[s]):
+                    yield from chosen()
+                    cell, held, ids, best = (i[s], r[s]), [], [], None
+                part = batch.slice(s, e - s)
+                x = units(part.column(5))
+                if role[s] == 0:
+                    held.append(x)
+                    ids.append(part.column(3).to_numpy(zero_copy_only=False))
+                    continue
+                if not len(held):
+                    continue
+                if best is None:
+                    held, ids = np.vstack(held), np.concatenate(ids)
+                    best = _Nearest(held, k)
+                best.meet(x, part.column(4).to_numpy(zero_copy_only=False), part.column(6).to_numpy(zero_copy_only=False))
+        yield from chosen()
+
+    d = rows.mapInArrow(run, f"_one {kinds[0]}, ref {kinds[1]}, sim double, value double")
+    rank = F.row_number().over(Window.partitionBy("_one").orderBy(F.desc("sim"), "ref"))
+    d = d.withColumn("rank", rank).where(F.col("rank") <= k)
+    same = items.select("idx", "vec").join(one, "vec").select("idx", "_one")
+    return same.join(d, "_one").select("idx", "ref", "sim", "value", "rank")
+
+
+class _Nearest:
+    """The k nearest of all references met so far, for each of a slice of items; ties by id.
+
+    Products of single precision rule out what cannot be among them, with a margin for their error; the rest is compared in double precision.
+    """
+
+    def __init__(self, x, k: int):
+        import numpy as np
+
+        n = len(x)
+        self.x, self.small, self.k = x, x.astype(np.float32), k
+        self.margin = np.float32(1e-6 * (x.shape[1] + 8))
+        self.sim, self.ref, self.value, self.some = np.full((n, k), -np.inf), None, np.full((n, k), np.nan), np.zeros((n, k), bool)
+
+    def meet(self, m, refs, values):
+        import numpy as np
+
+        if self.ref is None:
+            self.ref = np.zeros(self.sim.shape, refs.dtype)
+        for b in range(0, len(m), 2048):
+            y = m[b : b + 2048]
+            small = np.ascontiguousarray(y.astype(np.float32).T)
+            for a in range(0, len(self.x), 2048):
+                got = self.small[a : a + 2048] @ small
+                low = self.sim[a : a + 2048, -1].astype(np.float32) - self.margin
+                # items that lack k yet begin from the k greatest of this block
+                new = ~self.some[a : a + 2048, -1]
+                if new.any() and got.shape[1] > self.k:
+                    part = np.partition(np.nan_to_num(got[new], nan=-np.inf), got.shape[1] - self.k, axis=1)
+                    low[new] = part[:, got.shape[1] - self.k] - 2 * self.margin
+                rows, cols = np.nonzero(~(got < low[:, None]))
+                # whole items at a time, about 2^18 pairs
+                ends = np.flatnonzero(np.diff(rows, append=-1)) + 1
+                s = 0
+                while s < len(rows):
+                    e = int(ends[min(np.searchsorted(ends, s + (1 << 18)), len(ends) - 1)])
+                    self._merge(rows[s:e] + a, y, cols[s:e], refs[b : b + 2048], values[b : b + 2048])
+                    s = e
+
+    def _merge(self, rows, y, cols, refs, values):
+        import numpy as np
+
+        sim = np.einsum("ij,ij->i", self.x[rows], y[cols])
+        mine = np.unique(rows)
+        old_r, old_j = np.nonzero(self.some[mine])
+        old_r = mine[old_r]
+        r = np.concatenate([old_r, rows])
+        sim = np.concatenate([self.sim[old_r, old_j], sim])
+        ref = np.concatenate([self.ref[old_r, old_j], refs[cols]])
+        value = np.concatenate([self.value[old_r, old_j], values[cols]])
+        by = ref if ref.dtype != object else np.unique(ref, return_inverse=True)[1]
+        order = np.lexsort((by, np.where(np.isnan(sim), np.inf, -sim), r))
+        r = r[order]
+        start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        place = np.arange(len(r)) - np.repeat(start, np.diff(np.append(start, len(r))))
+        keep = place < self.k
+        r, j, order = r[keep], place[keep], order[keep]
+        self.sim[r, j], self.ref[r, j], self.value[r, j], self.some[r, j] = np.where(np.isnan(sim[order]), -np.inf, sim[order]), ref[order], value[order], True
 
 
 def interpolated(neighbours: DataFrame, temperature: float = 0.05) -> DataFrame:
